@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("decontaminate", "mixing")
+_MODULES = ("langid", "secrets", "pii", "mixing", "decontaminate")
 
 
 def queries() -> dict:
