@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("langid", "secrets", "substrings", "vectors", "pii", "mixing", "decontaminate", "jaccard")
+_MODULES = ("langid", "secrets", "substrings", "vectors", "pii", "mixing", "decontaminate", "scoring", "jaccard")
 
 
 def queries() -> dict:
