@@ -3,10 +3,12 @@ vectorised word hashing and bounded Arrow batches."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns. An exact name wins over one that differs in case, so that extra columns never clash."""
+    """Just these columns. An exact name wins over one that differs in case, so that extra columns never clash.
+
+    Rows go to Python in batches of a few MB, whatever the length of texts."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        df.sparkSession.conf.set(key, str(most))
     have = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(have))])
     out = []
@@ -30,6 +36,27 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*out)
 
 
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """pick(), and all columns of df as the struct 'rest'."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    rest = F.struct(*[F.col(f"c{i}").alias(x) for i, x in enumerate(df.columns)]).alias("rest")
+    picked = [F.col(f"c{df.columns.index(x) if x in df.columns else [y.lower() for y in df.columns].index(x.lower())}").alias(x) for x in names]
+    return plain.select(*picked, rest)
+
+
+def filtered(df: DataFrame, keep) -> DataFrame:
+    """The rows of df, all columns, for whose texts keep() (made once a task by calling it) says so."""
+    at = df.columns.index("text")
+
+    def run(batches):
+        judge = keep()
+        for b in text_batches(batches):
+            yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
+
+    pick(df, "text")  # sets the size of batches
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset, as in tests."""
     told = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +72,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # Spark removes the shuffle files of plans that nothing holds any more
     return spark.read.schema(schema).parquet(path)
 
 
@@ -57,7 +87,7 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def text_batches(batches, most_bytes: int = 1 << 21, most_rows: int = 4096, text: str = "text"):
+def text_batches(batches, most_bytes: int = 1 << 20, most_rows: int = 4096, text: str = "text"):
     """Arrow batches cut so that each holds about most_bytes of text; one longer text makes a batch of its own."""
     for batch in batches:
         n = batch.num_rows

@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from .common import mix, pick, table, text_batches, window_hashes, word_hashes, written
 from .components import components
 
-SHINGLE, GROUPS, LEAF = 5, 64, 64
+SHINGLE, GROUPS, COARSE, LEAF = 5, 512, 64, 64
 
 
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
@@ -40,11 +40,31 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+def pack(shingles: np.ndarray) -> bytes:
+    """The counts of the groups; a byte each where that holds them, else four."""
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    narrow = all(len(p) == GROUPS for p in packed)
+    return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), GROUPS) if narrow else np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.int32).astype(np.int32) for p in packed])
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Of rows of points and sizes: an overlap of 4/9 of both sizes (similarity 0.8) is within the bound."""
+    return 9 * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= 4 * (n + m)
+
+
 class RTree:
-    """A packed tree over points sorted by size: leaves of LEAF points, nodes of LEAF leaves; boxes keep the upper corners."""
+    """A packed tree over points sorted by size: leaves of LEAF points, nodes of LEAF leaves; boxes keep the upper corners.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    Boxes and the first bound sum groups to COARSE ones, which bounds more loosely but faster."""
+
+    def __init__(self, fine: np.ndarray, sizes: np.ndarray):
+        self.fine = fine
+        self.points, self.sizes = fine.reshape(len(fine), COARSE, -1).sum(axis=2, dtype=np.int32), sizes
+        points = self.points
         self.starts = np.arange(0, len(points), LEAF)
         self.upper = np.maximum.reduceat(points, self.starts, axis=0)
         self.low, self.high = np.minimum.reduceat(sizes, self.starts), np.maximum.reduceat(sizes, self.starts)
@@ -67,6 +87,8 @@ class RTree:
                     i, j = np.nonzero(9 * bound >= 4 * (n[:, None] + m[None, :]))
                     i, j = i + start, j + at
                     keep = i < j
+                    i, j = i[keep], j[keep]
+                    keep = may_be_similar(self.fine[i], self.fine[j], self.sizes[i], self.sizes[j])
                     if keep.any():
                         yield i[keep], j[keep]
 
@@ -78,7 +100,7 @@ def _points(docs: DataFrame) -> DataFrame:
         for b in text_batches(batches):
             sets = shingle_sets(b.column(1).to_pylist())
             prefix = [s[: len(s) // 5 + 1] for s in sets]
-            counts = [np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
+            counts = [pack(s) for s in sets]
             k1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
             k2 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(7))) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
@@ -91,8 +113,27 @@ def _points(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, counts binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the counts of groups leave."""
+    side = lambda x: points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2048):
+                b = whole.slice(k, 2048)
+                n, m = (np.asarray(b.column(i)) for i in (2, 3))
+                ok = pa.array(may_be_similar(unpack(b.column(4).to_pylist()), unpack(b.column(5).to_pylist()), n, m))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Only the texts of these pairs are moved."""
+    pairs = written(pairs, "jaccard-pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = written(docs.join(ids, "doc_id", "left_semi"), "jaccard-texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -110,8 +151,7 @@ def _search(rows: DataFrame) -> DataFrame:
 
     def group(rows: list[tuple]):
         ids, comp, sizes = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
-        points = np.frombuffer(b"".join(r[3] for r in rows), np.int32).reshape(len(rows), GROUPS)
-        for i, j in RTree(points, sizes).pairs():
+        for i, j in RTree(unpack([r[3] for r in rows]), sizes).pairs():
             other = comp[i] != comp[j]
             a, b = ids[i[other]], ids[j[other]]
             if len(a):
@@ -146,25 +186,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("h")
     trees = own.select(F.explode("prefix").alias("h"), "doc_id").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).filter("low < high").select("h", "doc_id", "low")
     trees = written(trees, "jaccard-trees")
-    members = trees.select("doc_id").distinct()
-    texts = written(docs.join(members, "doc_id", "left_semi"), "jaccard-texts")
 
     # first a pair a document: with the smallest id that most of its trees have
     leader = trees.filter("doc_id <> low").groupBy("doc_id", "low").count().groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("low")).alias("low"))).alias("best"))
-    first = written(_verified(leader.select((-F.col("best.low")).alias("a"), F.col("doc_id").alias("b")), texts), "jaccard-links")
+    leader = leader.select((-F.col("best.low")).alias("a"), F.col("doc_id").alias("b"))
+    first = written(_verified(_bounded(leader, own), docs), "jaccard-links")
     comp = written(components(first), "jaccard-components")
 
     # then all pairs of points in different components
     placed = trees.select("h", "doc_id").join(comp, F.col("doc_id") == F.col("id"), "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = written(placed.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same)}).filter("low < high").select("h", "doc_id", "component"), "jaccard-split")
     near = _search(split.join(own.select("doc_id", "n", "counts"), "doc_id")).distinct()
-    second = _verified(near, texts)
+    second = _verified(near, docs)
     links = first.union(second)
     final = written(components(links), "jaccard-final")
     out = points.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").join(final, F.col("representative") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("representative", "doc_id").alias("representative"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "representative", "doc_id")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that are linked, directly or not, to a smaller id. Rows with a null id stay; of rows that
+    repeat id and text one stays."""
+    found = jaccard_components(docs)
+    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
+    mark = F.struct(docs["doc_id"], F.xxhash64(docs["text"])).alias("mark")
+    repeats = docs.filter(docs["doc_id"].isNotNull()).select(mark).groupBy("mark").count().filter("count > 1")
+    out = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    if repeats.isEmpty():
+        return out
+    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    return out.withColumn("_n", number).filter("doc_id is null or _n = 1").drop("_n")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
