@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table, text_batches
+from .common import filtered, pick, table, text_batches
 
 WINDOW = 13
 #: ASCII but letters and digits separates words; A-Z becomes a-z.
@@ -77,18 +77,22 @@ def scan(auto, text: str | None) -> tuple[int, int, list[str], list[dict]]:
     return len(words), sum(hit), sorted(items), spans
 
 
+def _items(benchmark: DataFrame, most_bytes: int):
+    """The items as a broadcast value; refused if they are over the bound."""
+    items = pick(benchmark, "item_id", "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > most_bytes:
+        raise ValueError(f"the benchmark has {total} bytes, more than the {most_bytes} allowed for one automaton")
+    return benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select(F.col("item_id").cast("string"), "text").collect()])
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (ids of the items found, as sorted strings), spans.
 
     Null or wordless text: no words, nothing found. Items without words are never found; items with a null id hit words but
     are not listed; items that share an id count as one. A benchmark of over most_bytes is refused, as its automaton would
     not fit beside the workers. Empty tables give no rows or no hits. Other columns are not looked at."""
-    spark = docs.sparkSession
-    items = pick(benchmark, "item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the benchmark has {total} bytes, more than the {most_bytes} allowed for one automaton")
-    sent = spark.sparkContext.broadcast([tuple(r) for r in items.select(F.col("item_id").cast("string"), "text").collect()])
+    sent = _items(benchmark, most_bytes)
 
     def run(batches):
         auto = automaton(sent.value, size)
@@ -103,6 +107,22 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mo
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
+    """The rows that are not contaminated, all columns."""
+    sent = _items(benchmark, most_bytes)
+
+    def keep():
+        auto = automaton(sent.value, size)
+
+        def judge(texts):
+            found = [scan(auto, t)[:2] for t in texts]
+            return [hit == 0 or 20 * hit < n for n, hit in found]
+
+        return judge
+
+    return filtered(docs, keep)
+
+
 def contaminated():
     """A document is contaminated if at least a twentieth of its words are hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table, text_batches
+from .common import filtered, pick, table, text_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MOST_PIECE = 7  # bytes of a piece at most: with its length it fits 64 bits
@@ -188,6 +188,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose language is told with a probability of at least least: letterless and null texts go, as do undecided ones."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.langs, model.p))
+
+    def keep():
+        own = Model(*sent.value)
+        return lambda texts: [lang != "und" and score >= least for lang, score in own.predict(texts)]
+
+    return filtered(docs, keep)
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()))

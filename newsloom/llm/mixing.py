@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, table, written
+from .common import carried, pick, table, written
 
 BITS, LEVELS = 12, 4  # 48 bits of the hash in four steps
 #: Up to so many sources the table of thresholds (some 60 bytes each) is broadcast; beyond, it is joined by shuffle.
@@ -21,11 +21,11 @@ def _hash() -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (source with null made distinct), size in words, h."""
-    d = pick(docs, "doc_id", "text", "source")
+def sizes_of(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, key (source with null made distinct), size in words, h; with carry also rest, a struct of the whole row."""
+    d = (carried if carry else pick)(docs, "doc_id", "text", "source")
     size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
-    return d.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"), _hash().alias("h"))
+    return d.select(*["rest"] * carry, "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"), _hash().alias("h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -70,8 +70,8 @@ def thresholds(sizes: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
     return state.select("key", "source_size", "target", "whole", F.when(F.col("open"), F.col("prefix")).otherwise(F.lit(1 << BITS * LEVELS)).alias("below"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, times, taken.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, times, taken; with carry also rest, a struct of the whole row.
 
     Null text: size 0. Null source: a source of its own, last in order. Repeated rows count each time and are taken alike.
     An empty table gives an empty result; if all sizes are 0, all targets are 0. Other columns are not looked at."""
@@ -79,9 +79,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     goal = written(targets(sizes, weights, most), "mix-targets")
     few = goal.count() <= BROADCAST_SOURCES
     bound = thresholds(sizes, goal, few)
-    out = sizes.join(F.broadcast(bound) if few else bound, "key")
+    out = (sizes_of(docs, carry) if carry else sizes).join(F.broadcast(bound) if few else bound, "key")
     times = F.col("whole") + F.when((F.col("whole") < most) & (F.col("h") < F.col("below")), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", times.cast("long").alias("times"), (F.col("size") * times).cast("long").alias("taken"))
+    return out.select(*["rest"] * carry, "doc_id", "source", "size", "source_size", "target", times.cast("long").alias("times"), (F.col("size") * times).cast("long").alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
