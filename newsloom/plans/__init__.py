@@ -1 +1,13 @@
+"""Queries by name, and the SQL that gives the same rows where SQL can."""
 
+from __future__ import annotations
+
+from . import relational
+
+
+def queries() -> dict:
+    return dict(relational.QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(relational.ORACLE)
