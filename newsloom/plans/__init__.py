@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import relational, textual
 
 
 def queries() -> dict:
-    return dict(relational.QUERIES)
+    return relational.QUERIES | textual.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(relational.ORACLE)
+    return relational.ORACLE | textual.ORACLE
