@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, table, text_batches, window_hashes, word_hashes, written
+from .common import drop_table, pick, table, text_batches, window_hashes, word_hashes, written
 
 WINDOW, K = 50, 10
 
@@ -146,50 +146,58 @@ def _anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-_CONTEXT = "anchor long, print binary, doc_id long, row long, first int, words binary"
+_CONTEXT = "anchor long, print binary, doc_id long, row long, firsts array<int>, n int, words binary"
 
 
 def _contexts(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """The text around each repeated minimizer (docs has their list): hashes of its words, a fingerprint, where it starts."""
-    schema = pa.schema([("anchor", pa.int64()), ("print", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("words", pa.binary())])
+    """The text around each repeated minimizer (docs has their list), once a document: its words, a fingerprint, where it starts."""
+    schema = pa.schema([("anchor", pa.int64()), ("print", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("firsts", pa.list_(pa.int32())), ("n", pa.int32()), ("words", pa.binary())])
 
     def rows(batches):
-        for b, i, doc, text, w, *_ in _each(batches):
+        for b, i, doc, text, w, starts, ends, buf in _each(batches):
             wanted = set(b.column(2)[i].as_py())
-            row = _key(doc, text)
+            row, seen = _key(doc, text), {}
             for anchor, first, last in pieces(w, window, k):
                 if anchor in wanted:
-                    words = w[first : last + window].tobytes()
-                    yield anchor, hashlib.blake2b(words, digest_size=16).digest(), doc, row, first, words
+                    n = last + window - first
+                    words = b" ".join(buf[x:y] for x, y in zip(starts[first : first + n].tolist(), ends[first : first + n].tolist(), strict=True))
+                    seen.setdefault((anchor, hashlib.blake2b(words, digest_size=16).digest()), ([], n, words))[0].append(first)
+            for (anchor, mark), (firsts, n, words) in seen.items():
+                yield anchor, mark, doc, row, firsts, n, words
 
     return docs.mapInArrow(lambda batches: _flow(rows(batches), schema, 4000), _CONTEXT)
 
 
+SHARD_STATES = 250_000  # an automaton of so many states is closed, and the next reference text starts another one
+
+
 def _judge(contexts: DataFrame, window: int) -> DataFrame:
-    """(anchor, print, known): of each different text, the windows (counted from its start) that a smaller id has."""
-    schema = pa.schema([("anchor", pa.int64()), ("print", pa.binary()), ("known", pa.list_(pa.int32()))])
+    """(anchor, print, low, known): of each different text, the windows (counted from its start) that a smaller id has."""
+    schema = pa.schema([("anchor", pa.int64()), ("print", pa.binary()), ("low", pa.int64()), ("known", pa.list_(pa.int32()))])
 
     def rows(batches):
-        last, auto, waiting, now = None, None, [], None
+        last, shards, waiting, now = None, [], [], None
         for b in batches:
             for anchor, mark, doc, words in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
                 if anchor != last:
-                    last, auto, waiting, now = anchor, SuffixAutomaton(), [], doc
+                    last, shards, waiting, now = anchor, [SuffixAutomaton()], [], doc
                 if doc != now:  # texts of one document do not count against each other
                     for w in waiting:
-                        auto.start()
+                        if len(shards[-1].next) > SHARD_STATES:
+                            shards.append(SuffixAutomaton())
+                        shards[-1].start()
                         for c in w:
-                            auto.extend(c)
+                            shards[-1].extend(c)
                     waiting, now = [], doc
-                w = np.frombuffer(words, np.uint64).tolist()
-                found = [i - window + 1 for i, n in enumerate(auto.statistics(w)) if n >= window]
+                w = words.split(b" ")
+                found = {i - window + 1 for auto in shards for i, n in enumerate(auto.statistics(w)) if n >= window}
                 if len(found) < len(w) - window + 1:
                     waiting.append(w)
-                yield anchor, mark, found
+                yield anchor, mark, doc, sorted(found)
 
     parts = max(contexts.sparkSession.sparkContext.defaultParallelism, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shard = contexts.select("anchor", "print", "low", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "low", "print")
-    return shard.mapInArrow(lambda batches: _flow(rows(batches), schema), "anchor long, print binary, known array<int>")
+    return shard.mapInArrow(lambda batches: _flow(rows(batches), schema), "anchor long, print binary, low long, known array<int>")
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -207,26 +215,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, with_text:
     wanted = anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     contexts = written(_contexts(docs.join(wanted, "doc_id"), window, k), "substring-contexts")
     different = contexts.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"))
-    different = written(different, "substring-texts")
-    known = _judge(different, window).join(different.select("anchor", "print", "low"), ["anchor", "print"])
-    places = contexts.select("anchor", "print", "doc_id", "row", "first", (F.octet_length("words") / 8 - window).cast("int").alias("most")).join(known, ["anchor", "print"])
-    first = F.when(F.col("doc_id") > F.col("low"), F.sequence(F.lit(0), "most")).otherwise(F.col("known"))
-    # a run of windows as its first and last one
-    gone = places.select("doc_id", "row", "first", first.alias("w")).filter("size(w) > 0")
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", F.when(F.size("w") == F.element_at("w", -1) - F.element_at("w", 1) + 1, F.array(F.element_at("w", 1), F.element_at("w", -1))).otherwise(F.col("w")).alias("w"), (F.size("w") == F.element_at("w", -1) - F.element_at("w", 1) + 1).alias("run"))).alias("gone"))
-    gone = written(gone.groupBy("doc_id").agg(F.collect_list(F.struct("row", "gone")).alias("gone")), "substring-gone")
+    known = written(_judge(different, window), "substring-known")
+    all_of_it = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - window).alias("b")))
+    # runs of windows as (first, last), counted from the start of the text
+    run_start = F.filter("known", lambda x: ~F.array_contains(F.col("known"), x - 1))
+    run_end = F.filter("known", lambda x: ~F.array_contains(F.col("known"), x + 1))
+    runs = F.arrays_zip(run_start.alias("a"), run_end.alias("b"))
+    known = known.select("anchor", "print", "low", runs.alias("runs"))
+    places = contexts.select("anchor", "print", "doc_id", "row", "firsts", "n").join(known, ["anchor", "print"])
+    gone = places.select("doc_id", "row", "firsts", F.when(F.col("doc_id") > F.col("low"), all_of_it).otherwise(F.col("runs")).alias("runs")).filter("size(runs) > 0")
+    gone = written(gone.groupBy("doc_id").agg(F.collect_list(F.struct("row", "firsts", "runs")).alias("gone")), "substring-gone")
+    drop_table(anchors)
+    drop_table(contexts)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())][: len(names)])
 
     def rows(batches):
         for b, i, doc, text, w, starts, ends, buf in _each(batches):
             keep = np.ones(len(w), bool)
+            row = _key(doc, text)
             for part in b.column(2)[i].as_py() or ():
-                if part["row"] == _key(doc, text):
-                    for g in part["gone"]:
-                        at = g["first"]
-                        for x, y in [(g["w"][0], g["w"][-1])] if g["run"] else ((x, x) for x in g["w"]):
-                            keep[at + x : at + y + window] = False
+                if part["row"] == row:
+                    for run in part["runs"]:
+                        for at in part["firsts"]:
+                            keep[at + run["a"] : at + run["b"] + window] = False
             left = np.flatnonzero(keep)
             kept = b" ".join(buf[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True))
             yield (doc, len(w), len(w) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass"))[: len(names)]
