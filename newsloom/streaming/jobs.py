@@ -29,8 +29,9 @@ def seen_once(events: DataFrame, key: str = "url_key", late: str = "30 days") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def host_health(attempts: DataFrame) -> DataFrame:
-    """(host, id, fails, skipped) of attempts (host, ts, id, ok, status): the ledger of each host is its state, forgotten after two days."""
+def host_health(attempts: DataFrame, forget: str = "2 days") -> DataFrame:
+    """(host, id, fails, skipped) of attempts (host, ts, id, ok, status): the ledger of each host is its state, forgotten once the
+    watermark is two days past its last attempt."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,7 +42,7 @@ def host_health(attempts: DataFrame) -> DataFrame:
             fail, at = state.get
             if fail:
                 ledger.hosts[key[0]] = [fail, at]
-        out = []
+        out, t = [], 0.0
         for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
             t = r.ts.timestamp()
             skipped = ledger.closed(key[0], t)
@@ -50,10 +51,10 @@ def host_health(attempts: DataFrame) -> DataFrame:
             out.append((key[0], r.id, ledger.hosts.get(key[0], [0])[0], skipped))
         fail, at = ledger.hosts.get(key[0], (0, 0.0))
         state.update((fail, at))
-        state.setTimeoutDuration(2 * 24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(int(t * 1000) + 48 * 3600 * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["host", "id", "fails", "skipped"])
 
-    return attempts.groupBy("host").applyInPandasWithState(step, "host string, id long, fails long, skipped boolean", "fail long, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return attempts.withWatermark("ts", forget).groupBy("host").applyInPandasWithState(step, "host string, id long, fails long, skipped boolean", "fail long, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
