@@ -50,11 +50,12 @@ def filtered(df: DataFrame, keep) -> DataFrame:
 
     def run(batches):
         judge = keep()
-        for b in text_batches(batches):
+        for b in text_batches(batches, text=f"c{at}"):
             yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
 
     pick(df, "text")  # sets the size of batches
-    return df.mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,15 +67,16 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives any executor."""
+def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives any executor. free: what was shuffled goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()  # Spark removes the shuffle files of plans that nothing holds any more
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()  # Spark removes the shuffle files of plans that nothing holds any more
     return spark.read.schema(schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Loops, repeated links and either direction are fine; links with a null are left out; no links give no rows."""
     e = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, "links")
+    e = written(e, "links", free=False)
     before = _state(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        new = written(small, "links")
+        new = written(small, "links", free=False)
         drop_table(e)
         e, now = new, _state(new)
         if now == before:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import mix, pick, table, text_batches, window_hashes, word_hashes, written
+from .common import carried, mix, pick, table, text_batches, window_hashes, word_hashes, written
 from .components import components
 
 SHINGLE, GROUPS, COARSE, LEAF = 5, 512, 64, 64
@@ -209,13 +209,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     repeat id and text one stays."""
     found = jaccard_components(docs)
     gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
-    mark = F.struct(docs["doc_id"], F.xxhash64(docs["text"])).alias("mark")
-    repeats = docs.filter(docs["doc_id"].isNotNull()).select(mark).groupBy("mark").count().filter("count > 1")
-    out = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    if repeats.isEmpty():
-        return out
-    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return out.withColumn("_n", number).filter("doc_id is null or _n = 1").drop("_n")
+    rows = carried(docs, "doc_id", "text").select("rest", "doc_id", F.xxhash64("text").alias("mark"))
+    out = rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    if rows.filter("doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        return out.select("rest.*")
+    number = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
+    return out.withColumn("n", number).filter("doc_id is null or n = 1").select("rest.*")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,7 @@ def thresholds(sizes: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
                 (F.col("open") & F.col("edge").isNotNull()).alias("open"),
             ),
             f"mix-{level}",
+            free=False,
         )
     return state.select("key", "source_size", "target", "whole", F.when(F.col("open"), F.col("prefix")).otherwise(F.lit(1 << BITS * LEVELS)).alias("below"))
 

@@ -44,14 +44,14 @@ def windows_over(s: str, bits: float, window: int = WINDOW) -> list[tuple[int, i
     total, out = 0.0, []
     most = (math.log2(window) - bits) * window + 1e-9  # H >= bits as the sum of c * log2(c) <= most
     for i, c in enumerate(s):
-        n = count.get(c, 0)
-        total += log[n + 1] - log[n]
-        count[c] = n + 1
         if i >= window:
             gone = s[i - window]
             n = count[gone]
             total += log[n - 1] - log[n]
             count[gone] = n - 1
+        n = count.get(c, 0)
+        total += log[n + 1] - log[n]
+        count[c] = n + 1
         if i >= window - 1 and total <= most:
             if out and out[-1][1] >= i - window + 1:
                 out[-1][1] = i + 1
