@@ -13,7 +13,7 @@ from ..functions.extract import allowed_c, host_c
 from ..functions.gates import quality_conjuncts
 from ..functions.times import cost_micro_usd, daily_allowance, effective_time, is_date_only, korea, korea_day
 from ..operators import candidates as C
-from ..operators import control, issues, merge, reports
+from ..operators import control, issues, merge, repairs, reports
 from ..operators.feed import FeedParams, feed, ranked_only
 from .standin import NOW, USER, Tables, sql
 
@@ -570,3 +570,51 @@ def _(t):
     recent = t.articles().filter(effective_time(F.col("published_at"), F.col("fetched_at")) >= F.to_timestamp(F.lit("2024-01-20 00:00:00")))
     return issues.prune(cache, recent).select("key", F.size("url_keys").cast("long").alias("n"))
 
+
+# --- repairs ------------------------------------------------------------------------------------------------
+
+
+@query("title_repair", " SELECT id, CASE WHEN id % 4 = 0 THEN title || ' x' ELSE title END AS title FROM articles WHERE title <> ''")
+def _(t):
+    a = t.articles().filter("title <> ''")
+    pages = a.select("url", F.when(F.col("id") % 4 == 0, F.concat("title", F.lit(" x"))).otherwise("other").alias("title"))
+    return repairs.with_titles(a, pages).select("id", "title")
+
+
+@query("time_repair", " SELECT id, CASE WHEN (published_at = '' OR regexp_full_match(published_at, '.{4}-.{2}-.{2}')) AND id % 2 = 0 THEN '2024-01-05T01:00:00.000Z' ELSE published_at END AS published_at FROM articles")
+def _(t):
+    a = t.articles()
+    pages = a.select("url", F.when(F.col("id") % 2 == 0, "2024-01-05T01:00:00.000Z").otherwise("2024-01-05").alias("published_at"))
+    return repairs.with_clocks(a, pages).select("id", "published_at")
+
+
+@query("section_repair", f""", todo AS (SELECT * FROM timed WHERE category <> '바둑' AND summary_quality = 'full' AND when_ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND url_key NOT IN (SELECT url_key FROM checks) ORDER BY when_ts DESC, id DESC LIMIT 10)
+    SELECT id, category, CASE WHEN id % 2 = 0 THEN '경제' ELSE category END AS detected FROM todo""")
+def _(t):
+    a = t.articles()
+    pages = a.select("url", F.when(F.col("id") % 2 == 0, "경제").otherwise("").alias("section"), F.lit("").alias("body"))
+    return repairs.section_checks(a, t.checks(), pages, NOW).select("id", "category", "detected")
+
+
+@query("popular_on_day", _BUCKETS + f" SELECT bucket, count(*) AS n FROM b JOIN articles a USING (id) WHERE kst_day = '2024-01-20' AND {_RANKED} GROUP BY 1")
+def _(t):
+    ranked = ranked_only(t.articles(), t.popularity(), t.popular_items()).select("id", F.lit(True).alias("is_popular"))
+    return repairs.popular_on_day(_bucketed(t).join(ranked, "id"), "2024-01-20")
+
+
+@query("url_repair", " SELECT id, CASE WHEN id % 3 = 0 THEN 'https://n.news.naver.com/mnews/article/001/' || id ELSE url END AS url FROM articles")
+def _(t):
+    url = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://sports.naver.com/kbaseball/article/001/"), "id")).otherwise(F.col("url"))
+    return t.articles().select("id", repairs.sports_url(url).alias("url"))
+
+
+@query("acquired_pages", " SELECT id, CASE WHEN id % 3 = 0 THEN 'own' WHEN id % 3 = 1 THEN 'mirror' ELSE 'short' END AS used FROM articles WHERE length(title) > 30 AND id < 200 AND len(regexp_extract_all(title, '[0-9A-Za-z]')) > 10")
+def _(t):
+    a = t.articles().filter((F.length("title") > 30) & (F.col("id") < 200) & (F.size(F.regexp_extract_all("title", F.lit("[0-9A-Za-z]"), F.lit(0))) > 10))
+    kind = F.col("id") % 3
+    pages = a.select("url", F.when(kind == 0, F.repeat(F.lit("b"), F.lit(400))).otherwise("").alias("body"), F.when(kind == 0, "ok").when(kind == 1, "http_403").otherwise("selector_miss").alias("status"))
+    mirrors = a.filter(kind == 1).select("title", F.concat(F.lit("https://m.example.com/"), "id").alias("url"))
+    landed = pages.unionByName(mirrors.select("url", F.repeat(F.lit("m"), F.lit(200)).alias("body"), F.lit("ok").alias("status")))
+    out = repairs.acquired(a.select("url", F.lit("").alias("link"), "title", "id"), landed, mirrors)
+    used = F.when(F.col("body").startswith("b"), "own").when(F.col("body").startswith("m"), "mirror").otherwise("short")
+    return out.join(a.select("url", "id"), "url").select("id", used.alias("used"))

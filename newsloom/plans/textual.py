@@ -14,7 +14,7 @@ from ..functions.extract import canonical_url_column, extract_pages
 from ..functions.gates import build_summary_column, rejection_column
 from ..functions.similarity import near_duplicate_c
 from ..functions.times import effective_time, korea_day
-from ..operators import issues, stories
+from ..operators import issues, repairs, stories
 from ..operators.feed import FeedParams, feed
 from ..sources.landed import popularity, ranking
 from .standin import NOW, USER, Tables, sql
@@ -202,6 +202,11 @@ def _(t):
     return made.select("id", rejection_column("made", "title", "category").alias("reason"))
 
 
+@query("weak_summaries")
+def _(t):
+    return repairs.weak_summaries(t.articles(), NOW, days=30, most=400).select("id", "title")
+
+
 # --- stories --------------------------------------------------------------------------------------------
 
 
