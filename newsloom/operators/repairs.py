@@ -74,17 +74,16 @@ def popular_on_day(articles: DataFrame, day: str) -> DataFrame:
 
 def acquired(candidates: DataFrame, pages: DataFrame, mirrors: DataFrame) -> DataFrame:
     """candidates (url, link, title) with the page that is used, of landed pages (url, body, status): the readable address; if its body
-    is short, the own address; if that is too short and the host turned us away, a mirror (title, url) of the same title."""
+    is short, the own address; if that is too short and the host turned us away, a mirror (query, title, url): what a search for the
+    title has found, if it has the same title."""
     page = lambda name: pages.select(F.col("url").alias(f"{name}_url"), F.col("body").alias(f"{name}_body"), F.col("status").alias(f"{name}_status"))
     rows = candidates.withColumn("read_url", readable_url_c(F.col("url"), F.coalesce("link", F.lit(""))))
     rows = rows.join(page("read"), "read_url", "left").withColumn("own_url", F.col("url")).join(page("own"), "own_url", "left")
     second = (F.length(F.coalesce("read_body", F.lit(""))) < 300) & (F.col("read_url") != F.col("url"))
     rows = rows.withColumns({"body": F.coalesce(F.when(second, F.col("own_body")).otherwise(F.col("read_body")), F.lit("")), "status": F.coalesce(F.when(second, F.col("own_status")).otherwise(F.col("read_status")), F.lit("missing"))})
     lost = (F.length("body") < fixed.BODY_OK) & F.col("status").rlike(fixed.HOST_FAILURE)
-    # mirrors meet on the first letters of the title, which both tests for 'the same title' nearly always share; landed searches have few
-    start = lambda c: F.substring(F.regexp_replace(c, r"[^0-9A-Za-z가-힣]", ""), 1, 4)
     near = vectorised(title_similarity, T.DoubleType())
-    found = rows.filter(lost).select("url", "read_url", "title", start(F.col("title")).alias("k")).join(mirrors.select(F.col("title").alias("m_title"), F.col("url").alias("m_url"), start(F.col("title")).alias("k")), "k")
+    found = rows.filter(lost).select("url", "read_url", "title").join(mirrors.select(F.col("query").alias("title"), F.col("title").alias("m_title"), F.col("url").alias("m_url")), "title")
     found = found.filter((F.col("m_url") != F.col("url")) & (F.col("m_url") != F.col("read_url"))).filter(truncation_of(F.col("title"), F.col("m_title")) | (near("m_title", "title") >= 0.9))
     found = found.join(page("m").withColumnRenamed("m_status", "mirror_status"), "m_url").filter(F.length("m_body") >= fixed.BODY_OK)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("m_url"))).filter("n = 1").select("url", "m_url", "m_body", "mirror_status")

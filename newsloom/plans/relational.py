@@ -574,9 +574,9 @@ def _(t):
 # --- repairs ------------------------------------------------------------------------------------------------
 
 
-@query("title_repair", " SELECT id, CASE WHEN id % 4 = 0 THEN title || ' x' ELSE title END AS title FROM articles WHERE title <> ''")
+@query("title_repair", r" SELECT id, CASE WHEN id % 4 = 0 THEN title || ' x' WHEN length(title) < 5 AND starts_with('other', regexp_replace(title, '\s+', '', 'g')) THEN 'other' ELSE title END AS title FROM articles")
 def _(t):
-    a = t.articles().filter("title <> ''")
+    a = t.articles()
     pages = a.select("url", F.when(F.col("id") % 4 == 0, F.concat("title", F.lit(" x"))).otherwise("other").alias("title"))
     return repairs.with_titles(a, pages).select("id", "title")
 
@@ -608,12 +608,12 @@ def _(t):
     return t.articles().select("id", repairs.sports_url(url).alias("url"))
 
 
-@query("acquired_pages", " SELECT id, CASE WHEN id % 3 = 0 THEN 'own' WHEN id % 3 = 1 THEN 'mirror' ELSE 'short' END AS used FROM articles WHERE length(title) > 30 AND id < 200 AND len(regexp_extract_all(title, '[0-9A-Za-z]')) > 10")
+@query("acquired_pages", " SELECT id, CASE WHEN id % 3 = 0 THEN 'own' WHEN id % 3 = 1 AND regexp_matches(title, '[0-9A-Za-z가-힣]') THEN 'mirror' ELSE 'short' END AS used FROM articles")
 def _(t):
-    a = t.articles().filter((F.length("title") > 30) & (F.col("id") < 200) & (F.size(F.regexp_extract_all("title", F.lit("[0-9A-Za-z]"), F.lit(0))) > 10))
+    a = t.articles()
     kind = F.col("id") % 3
     pages = a.select("url", F.when(kind == 0, F.repeat(F.lit("b"), F.lit(400))).otherwise("").alias("body"), F.when(kind == 0, "ok").when(kind == 1, "http_403").otherwise("selector_miss").alias("status"))
-    mirrors = a.filter(kind == 1).select("title", F.concat(F.lit("https://m.example.com/"), "id").alias("url"))
+    mirrors = a.filter(kind == 1).select(F.col("title").alias("query"), "title", F.concat(F.lit("https://m.example.com/"), "id").alias("url"))
     landed = pages.unionByName(mirrors.select("url", F.repeat(F.lit("m"), F.lit(200)).alias("body"), F.lit("ok").alias("status")))
     out = repairs.acquired(a.select("url", F.lit("").alias("link"), "title", "id"), landed, mirrors)
     used = F.when(F.col("body").startswith("b"), "own").when(F.col("body").startswith("m"), "mirror").otherwise("short")
