@@ -19,7 +19,8 @@ from .common import filtered, pick, table, text_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MOST_PIECE = 7  # bytes of a piece at most: with its length it fits 64 bits
 MOST_WORD = 48  # bytes; longer words are scored in parts of this length
-SAMPLE_DOCS, SAMPLE_WORDS = 1000, 200_000  # the bound of the training sample: documents of a language (by hash), distinct (language, word) pairs in all
+#: The bound of the training sample: documents of a language (by hash), distinct (language, word) pairs in all, letters of a word.
+SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_LETTERS = 1000, 200_000, 128
 ROUNDS = 3
 _WORDS = re.compile(r"[^\W\d_]+")
 _SCALE = 100.0  # a factor a byte that keeps products in range
@@ -166,7 +167,7 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int =
         return Model(load_pieces(vocabulary), [], np.zeros((1, 0)))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, sample_docs / n))]), F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word") <= SAMPLE_LETTERS).groupBy("lang", "word").count()
     top = [tuple(r) for r in words.orderBy(F.desc("count"), "lang", "word").limit(sample_words).collect()]
     keys = load_pieces(vocabulary)
     return Model(keys, langs, learn(keys, langs, top))
