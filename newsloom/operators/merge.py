@@ -104,8 +104,8 @@ def cache_put(cache: DataFrame, history: DataFrame, category: str, payload: str,
     """(cache, history): the old payload of the category goes to the history, the new one in its place."""
     old = cache.filter(F.col("category") == category).withColumn("backed_up_at", F.lit(built_at))
     new = cache.sparkSession.range(1).select(F.lit(category).alias("category"), F.lit(payload).alias("payload"), F.lit(built_at).alias("built_at"))
-    last = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    added = old.crossJoin(F.broadcast(last)).withColumn("id", (F.col("last") + 1).cast("long")).select(*history.columns)
+    last = history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = old.withColumn("id", F.lit(last + 1).cast("long")).select(*history.columns)
     return cache.filter(F.col("category") != category).unionByName(new), history.unionByName(added)
 
 

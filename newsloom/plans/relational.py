@@ -430,14 +430,21 @@ def _(t):
     return reports.health_counts(t.articles(), t.checks(), NOW)
 
 
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row tables as one row."""
+    first, *rest = [r.withColumn("_one", F.lit(1)) for r in rows]
+    for r in rest:
+        first = first.join(r, "_one")
+    return first.drop("_one")
+
+
 def _figures(t: Tables) -> DataFrame:
     counts = reports.health_counts(t.articles(), t.checks(), NOW)
     age = lambda c: (F.unix_timestamp(F.to_timestamp(F.lit(NOW))) - F.unix_timestamp(F.max(c))) / 3600
     runs = t.runs().agg(F.max_by("status", "id").alias("last_status"), age("started_at").alias("last_age_hours"))
     done = reports.status_recovery(t.articles(), t.attempts()).select("exhausted")
     known = {"automatic_age_hours": 1.0, "source_day": None, "stored_day": None, "baduk_short": 0, "baduk_published": 0, "baduk_seen": 0, "baduk_after_promo": 0, "budget_exceeded": 0, "duplicate_paid": 0, "quota_blocked": 0, "paid_rejected": 0, "paid_published": 0, "over_filtered": 0, "provider_blocked": False, "over_hard_limit": False, "rows_read": 0, "storage_percent": 10.0}
-    one = counts.crossJoin(runs).crossJoin(done)  # three rows of one
-    return one.withColumns({k: F.lit(v).cast("string") if v is None else F.lit(v) for k, v in known.items()})
+    return _side_by_side(counts, runs, done).withColumns({k: F.lit(v).cast("string") if v is None else F.lit(v) for k, v in known.items()})
 
 
 @query(
@@ -459,8 +466,7 @@ def _(t):
 @query("usage_storage", "SELECT (SELECT count(*) FROM articles) AS n_articles, (SELECT count(*) FROM saved) AS n_saved, (SELECT count(*) FROM runs) AS n_runs, CASE WHEN (SELECT count(*) FROM articles) % 100 >= 85 THEN 'danger' WHEN (SELECT count(*) FROM articles) % 100 >= 70 THEN 'warn' ELSE 'ok' END AS level")
 def _(t):
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    out = n(t.articles(), "n_articles").crossJoin(n(t.saved(), "n_saved")).crossJoin(n(t.runs(), "n_runs"))
-    return out.withColumn("level", reports.storage_level(F.col("n_articles") % 100))
+    return _side_by_side(n(t.articles(), "n_articles"), n(t.saved(), "n_saved"), n(t.runs(), "n_runs")).withColumn("level", reports.storage_level(F.col("n_articles") % 100))
 
 
 # --- budgets ------------------------------------------------------------------------------------------------

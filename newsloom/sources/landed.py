@@ -106,7 +106,7 @@ def popularity(pages: DataFrame, slot: int = 0, each: int = 4) -> DataFrame:
 def archive_days(spark: SparkSession, today: str, slot: int, days: int = 3) -> DataFrame:
     """(day, section, score): the days of the past that a slot looks at, for each section."""
     offset = (slot % 10) * days
-    rows = spark.range(days).crossJoin(spark.createDataFrame([(s,) for s in SECTION_IDS], "section string"))
+    rows = spark.range(days).select("id", F.explode(F.array(*map(F.lit, SECTION_IDS))).alias("section"))
     return rows.select(F.date_format(F.date_sub(F.lit(today).cast("date"), (F.lit(offset) + F.col("id")).cast("int")), "yyyyMMdd").alias("day"), "section", (70 - offset - F.col("id")).alias("score"))
 
 
