@@ -249,8 +249,9 @@ def test_lines(spark, empty):
                 places[norm(s)].append((-1 if i is None else i, p))
 
     def simhash(n):
-        m = (len(n.split(" ")) + 1) // 48
-        hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in n.split(" ") if len(x) >= 5]
+        w = sorted({x for x in n.split(" ") if len(x) >= 5} or set(n.split(" ")))
+        m = len(w) // 24
+        hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w]
         hs = [h for h in hs if not m or ((h - (1 << 64) if h >> 63 else h) >> 7) % (m + 1) == 0]
         if not 0 < len(hs) <= 63:
             return xxhash.xxh64(n.encode(), seed=42).intdigest()
@@ -422,6 +423,12 @@ def test_jaccard(docs, empty):
     assert sorted(x for x in kept if x is not None) == sorted({*low.values()}) and None in kept
 
 
+def test_frequent_shingles_are_dealt_out(docs, monkeypatch):
+    wanted = sorted(map(str, jaccard.jaccard_components(docs).collect()))
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    assert sorted(map(str, jaccard.jaccard_components(docs).collect())) == wanted
+
+
 def test_tree_finds_all_pairs_within_the_bound():
     sets = [np.unique(rng.integers(0, 3000, int(rng.integers(5, 60))).astype(np.uint64) << np.uint64(20)) for _ in range(300)]
     sets.sort(key=len)
