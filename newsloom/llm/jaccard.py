@@ -22,6 +22,7 @@ from .common import carried, mix, pick, table, text_batches, window_hashes, word
 from .components import components
 
 SHINGLE, GROUPS, COARSE, LEAF = 5, 512, 64, 64
+BLOCK = 8192  # points of one shingle's tree; more are dealt out as pairs of blocks
 
 
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
@@ -147,12 +148,21 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _search(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (h, doc_id, component, n, counts) of one h that lie in different components and may be similar."""
+    """Pairs (a, b) of rows (h, blocks, doc_id, component, n, counts) of one h that lie in different components and may be similar.
+
+    The rows of a frequent h, of so many blocks, go to a task for each pair of blocks; blocks is null where one is enough."""
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long")
+    dealt = rows.withColumn("with", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    low, high = F.least(block, F.col("with")), F.greatest(block, F.col("with"))
+    deal = F.when(F.col("blocks").isNotNull(), F.shiftleft(low, 40) + F.shiftleft(high, 20) + block)
+    dealt = dealt.select(F.when(F.col("blocks").isNull(), F.col("h")).otherwise(F.xxhash64("h", low, high)).alias("g"), deal.alias("deal"), "doc_id", "component", "n", "counts")
 
     def group(rows: list[tuple]):
-        ids, comp, sizes = (np.array([r[i] for r in rows]) for i in (0, 1, 2))
-        for i, j in RTree(unpack([r[3] for r in rows]), sizes).pairs():
+        ids, comp, sizes = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+        block, two = np.array([(r[0] or 0) & 0xFFFFF for r in rows]), rows[0][0] is not None and rows[0][0] >> 40 != rows[0][0] >> 20 & 0xFFFFF
+        for i, j in RTree(unpack([r[4] for r in rows]), sizes).pairs():
             other = comp[i] != comp[j]
+            other &= (block[i] != block[j]) | (not two)
             a, b = ids[i[other]], ids[j[other]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -160,15 +170,17 @@ def _search(rows: DataFrame) -> DataFrame:
     def run(batches):
         last, rows = None, []
         for b in batches:
-            for h, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != last:
-                    yield from group(rows) if len(rows) > 1 else ()
-                    last, rows = h, []
+            for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != last:
+                    if len(rows) > 1:
+                        yield from group(rows)
+                    last, rows = g, []
                 rows.append(row)
-        yield from group(rows) if len(rows) > 1 else ()
+        if len(rows) > 1:
+            yield from group(rows)
 
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.select("h", "doc_id", "component", "n", "counts").repartition(parts, "h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(run, "a long, b long")
+    return dealt.repartition(parts, "g").sortWithinPartitions("g", "n", "doc_id").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -184,7 +196,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = real.join(classes, ["k1", "k2", "n"]).filter("doc_id <> representative").select("doc_id").distinct()
     own = real.join(copies, "doc_id", "left_anti")
     same = Window.partitionBy("h")
-    trees = own.select(F.explode("prefix").alias("h"), "doc_id").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).filter("low < high").select("h", "doc_id", "low")
+    trees = own.select(F.explode("prefix").alias("h"), "doc_id", "n").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).filter("low < high").select("h", "doc_id", "n", "low")
     trees = written(trees, "jaccard-trees")
 
     # first a pair a document: with the smallest id that most of its trees have
@@ -194,8 +206,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     comp = written(components(first), "jaccard-components")
 
     # then all pairs of points in different components
-    placed = trees.select("h", "doc_id").join(comp, F.col("doc_id") == F.col("id"), "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = written(placed.withColumns({"low": F.min("component").over(same), "high": F.max("component").over(same)}).filter("low < high").select("h", "doc_id", "component"), "jaccard-split")
+    placed = trees.select("h", "doc_id", "n").join(comp, F.col("doc_id") == F.col("id"), "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    by_size = same.orderBy("n", "doc_id")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = placed.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole), "m": F.count("*").over(whole), "less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    # a point whose neighbours in order of size are both too small or large has no similar point in this tree
+    fits = (5 * F.coalesce("less", F.lit(0)) >= 4 * F.col("n")) | (4 * F.col("more") <= 5 * F.col("n"))
+    split = written(placed.filter("low < high").filter(fits).select("h", F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).alias("blocks"), "doc_id", "component"), "jaccard-split")
     near = _search(split.join(own.select("doc_id", "n", "counts"), "doc_id")).distinct()
     second = _verified(near, docs)
     links = first.union(second)
