@@ -16,11 +16,16 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_lower", "entropy_upper", "entropy_base64")
 BASE = KINDS[:3]
 WINDOW = 24
 #: Bits a character from which a window counts, by class; 24 random characters have about 3.5 of 4 and 4.3 of 6 bits.
-CLASSES = (("entropy_hex", re.compile(r"[0-9A-F]{24,}|[0-9a-f]{24,}"), 3.0), ("entropy_base64", _CANDIDATE, 4.0))
+CLASSES = (
+    ("entropy_hex", re.compile(r"[0-9A-F]{24,}|[0-9a-f]{24,}"), 3.0),
+    ("entropy_lower", re.compile(r"[0-9a-z]{24,}"), 3.7),
+    ("entropy_upper", re.compile(r"[0-9A-Z]{24,}"), 3.7),
+    ("entropy_base64", _CANDIDATE, 4.0),
+)
 #: Strings that look random but are no secrets: one character or a sequence repeated, UUIDs, alphabets, placeholders, paths.
 ALLOW = tuple(
     re.compile(p)
@@ -65,6 +70,34 @@ def mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
 
 
+def spread(s: str) -> bool:
+    """Keys of one case have digits among their letters; words with a number at an end do not."""
+    return len(re.findall(r"[0-9]+", s)) >= 3
+
+
+SHAPED = {"entropy_hex": lambda s: True, "entropy_lower": spread, "entropy_upper": spread, "entropy_base64": mixed}
+
+
+def allowed(s: str) -> bool:
+    """Most of the string is in parts that look random but are no secrets; a short run inside a key is no such thing."""
+    inside = bytearray(len(s))
+    for p in ALLOW:
+        for m in p.finditer(s):
+            inside[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    return len(s) - sum(inside) < WINDOW / 2 or 2 * sum(inside) >= len(s)
+
+
+def uncovered(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a candidate outside the spans reported already, which are sorted."""
+    out = []
+    for a, b in taken:
+        if a < end and start < b:
+            if start < a:
+                out.append((start, a))
+            start = max(start, b)
+    return out + [(start, end)] * (start < end)
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then by kind. The fixed kinds score 1, the others their share of what their class can have."""
     if not text:
@@ -79,14 +112,16 @@ def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     taken = sorted((a, b) for _, a, b, _ in out)
     added: list[tuple[str, int, int, float]] = []
     for m in _CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
-            continue  # reported already
-        for kind, shape, bits in CLASSES:
-            for run in shape.finditer(m[0]):
-                for a, b in windows_over(run[0], bits):
-                    s, at = run[0][a:b], m.start() + run.start() + a
-                    if (kind == "entropy_hex" or mixed(s)) and not any(p.search(s) for p in ALLOW) and not any(x[1] < at + b - a and at < x[2] for x in added[-4:]):
-                        added.append((kind, at, at + b - a, bits / math.log2(WINDOW)))
+        for start, end in uncovered(m.start(), m.end(), taken) if taken else [m.span()]:
+            part, mine = text[start:end], []
+            for kind, shape, bits in CLASSES:
+                for run in shape.finditer(part):
+                    for a, b in windows_over(run[0], bits):
+                        for x, y in uncovered(start + run.start() + a, start + run.start() + b, sorted(q[1:3] for q in mine)):
+                            s = text[x:y]
+                            if y - x >= WINDOW and SHAPED[kind](s) and not allowed(s):
+                                mine.append((kind, x, y, bits / math.log2(WINDOW)))
+            added += mine
     return sorted(out + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
