@@ -195,3 +195,6 @@ DAILY_SPEND, MONTHLY_TARGET, MONTHLY_SPEND = 300_000, 4_750_000, 5_000_000  # mi
 PUBLISH_CAP, BATCH = 12, {"baduk": 20, "general": 12}
 QUARANTINE_FAILS, QUARANTINE_HOURS, QUARANTINE_RULE = 5, 24, "2"
 READ_FUSE = 1_000_000
+
+#: Titles of no issue in particular, as a whole.
+MISC_TITLE = r"(?:기타|그 밖의)(?:\s*(?:바둑\s*)?(?:소식|뉴스|이슈))?"

@@ -91,3 +91,13 @@ def feed(articles: DataFrame, saved: DataFrame, hidden: DataFrame, likes: DataFr
     order = {"popular": [F.desc(korea_day(F.col("when_ts")))] * by_day + [score, when], "home": [F.desc(F.col("popularity_score") > 0), score, when]}.get(p.view, [when])
     rows = rows.orderBy(*order, "id")
     return rows.limit(p.limit) if p.limit else rows
+
+
+def display_name(user: Column) -> Column:
+    """The login name without the prefix that stored ids of accounts have; an id that is nothing else stays."""
+    return F.coalesce(F.nullif(F.regexp_replace(user, "^account:", ""), F.lit("")), user)
+
+
+def likers(likes: DataFrame, most: int = 100) -> DataFrame:
+    """user, liked_at: who likes an article, of its likes (user_id, liked_at), the first ones first."""
+    return likes.orderBy("liked_at", "user_id").limit(most).select(display_name(F.col("user_id")).alias("user"), "liked_at")

@@ -14,7 +14,7 @@ from ..functions.gates import quality_conjuncts
 from ..functions.times import cost_micro_usd, daily_allowance, effective_time, is_date_only, korea, korea_day
 from ..operators import candidates as C
 from ..operators import control, issues, merge, repairs, reports
-from ..operators.feed import FeedParams, feed, ranked_only
+from ..operators.feed import FeedParams, feed, likers, ranked_only
 from .standin import NOW, USER, Tables, sql
 
 QUERIES: dict = {}
@@ -74,7 +74,7 @@ def _(t):
     return _feed(t, view="home")
 
 
-_RANKED = "(EXISTS (SELECT 1 FROM popularity p WHERE p.url_key = a.url_key) OR EXISTS (SELECT 1 FROM popular_items p WHERE p.title = a.title))"
+_RANKED = "(a.url_key IN (SELECT url_key FROM popularity) OR coalesce(a.title IN (SELECT title FROM popular_items), FALSE))"
 
 
 @query("feed_popular_day", _feed_sql(_RANKED, window="INTERVAL 24 HOUR"))
@@ -162,7 +162,21 @@ def _(t):
     return t.articles().join(n, "url_key", "left").select("id", F.coalesce("like_count", F.lit(0)).alias("like_count"))
 
 
-@query("likers", "SELECT user_id, count(*) AS n FROM likes GROUP BY user_id ORDER BY n DESC, user_id LIMIT 100")
+_LIKED = "likes_at AS (SELECT 'account:' || CAST(user_id AS VARCHAR) AS user_id, sha256(CAST(event_id % (SELECT nd FROM n) AS VARCHAR)) AS url_key, min(ts) AS liked_at FROM ev WHERE event_type = 'view' GROUP BY 1, 2)"
+
+
+@query(
+    "likers",
+    f", {_LIKED}, busy AS (SELECT url_key FROM likes_at GROUP BY url_key ORDER BY count(*) DESC, url_key LIMIT 1) SELECT regexp_replace(user_id, '^account:', '') AS \"user\", strftime(liked_at, '%Y-%m-%d %H:%M:%S') AS liked_at FROM likes_at WHERE url_key = (SELECT url_key FROM busy) ORDER BY likes_at.liked_at, user_id LIMIT 100",
+)
+def _(t):
+    likes = t.likes_at()
+    busy = likes.groupBy("url_key").count().orderBy(F.desc("count"), "url_key").limit(1).select("url_key")  # the article that most like
+    found = likers(likes.join(busy, "url_key", "left_semi"))
+    return found.select("user", F.date_format("liked_at", "yyyy-MM-dd HH:mm:ss").alias("liked_at"))
+
+
+@query("likes_by_user", " SELECT user_id, count(*) AS n FROM likes GROUP BY user_id ORDER BY n DESC, user_id LIMIT 100")
 def _(t):
     return t.likes().groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(100)
 

@@ -62,6 +62,10 @@ class Tables:
     def likes(self) -> DataFrame:
         return self.marks("view")
 
+    def likes_at(self) -> DataFrame:
+        n, _ = self.counts
+        return self.events("view").groupBy(F.concat(F.lit("account:"), F.col("user_id").cast("string")).alias("user_id"), self.key(F.col("event_id") % n).alias("url_key")).agg(F.min("ts").alias("liked_at"))
+
     def popularity_log(self) -> DataFrame:
         n, _ = self.counts
         e = self.events("purchase")

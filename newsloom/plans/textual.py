@@ -3,9 +3,7 @@ SQL; the tests hold them against plain Python."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -13,7 +11,7 @@ from ..functions import text as X
 from ..functions.extract import canonical_url_column, extract_pages
 from ..functions.gates import build_summary_column, rejection_column
 from ..functions.similarity import near_duplicate_c
-from ..functions.times import effective_time, korea_day
+from ..functions.times import effective_time, korea_day, parse_date_c
 from ..operators import issues, repairs, stories
 from ..operators.feed import FeedParams, feed
 from ..sources.landed import popularity, ranking
@@ -215,34 +213,45 @@ def _(t):
     return stories.story_index(_dated(t))
 
 
-def _recent(t: Tables) -> list[dict]:
-    """What is classified at a time: the newest 400 articles of 30 days."""
+def _recent(t: Tables) -> DataFrame:
+    """What is classified at a time: the newest 400 articles of 30 days, ord in order of time, as one category."""
     when = effective_time(F.col("published_at"), F.col("fetched_at"))
     rows = t.articles().withColumn("w", when).filter(F.col("w") >= F.to_timestamp(F.lit(NOW)) - F.expr("interval 30 days"))
-    return [r.asDict() for r in rows.orderBy(F.desc("w"), "id").limit(400).select("id", "url_key", "title", "summary", "category", "source").collect()]
+    rows = rows.orderBy(F.desc("w"), "id").limit(400)
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("w"), "id")).alias("ord"), F.lit("일반").alias("category"), "url_key", "title", "summary", F.col("category").alias("topic"), "source", F.lit(False).alias("is_popular"))
 
 
-def _cache(t: Tables) -> list[dict]:
+def _cache(t: Tables) -> DataFrame:
     """A cache of groups: the recent articles by source."""
-    groups: dict[str, list[str]] = {}
-    for r in _recent(t):
-        groups.setdefault(r["source"], []).append(r["url_key"])
-    return [{"key": f"일반|ai:{i}", "title": f"{name} 배 {i}", "url_keys": keys} for i, (name, keys) in enumerate(sorted(groups.items()))]
+    groups = _recent(t).groupBy("category", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url_key"))), lambda x: x["url_key"]).alias("url_keys"))
+    at = F.row_number().over(Window.orderBy("source")) - 1
+    return groups.select("category", at.alias("at"), F.concat(F.lit("일반|ai:"), at).alias("key"), F.concat("source", F.lit(" 배 "), at).alias("title"), "url_keys")
+
+
+_RECENT_SQL = """, recent AS (SELECT id, url_key, source, row_number() OVER (ORDER BY when_ts DESC, id) AS ord FROM timed WHERE when_ts >= TIMESTAMP '{now}' - INTERVAL 30 DAY ORDER BY when_ts DESC, id LIMIT 400),
+    cached AS (SELECT row_number() OVER (ORDER BY source) - 1 AS i, source, list(url_key ORDER BY ord) AS url_keys FROM recent GROUP BY source)""".format(now=NOW)
 
 
 @query("card_fold")
 def _(t):
     rows = feed(t.articles(), t.saved(), t.hidden(), t.likes(), t.popularity(), t.popular_items(), FeedParams(now=NOW, user_id=USER, limit=150))
-    return stories.fold_feed(rows, _cache(t)).select("ord", "id", "url_key", "title", "outlet", "related_count")
+    return stories.fold_feed(rows, issues.as_dicts(_cache(t))).select("ord", "id", "url_key", "title", "outlet", "related_count")
 
 
 @query("issue_merge")
 def _(t):
-    merged = issues.merge_titles(_cache(t))
-    return t.spark.createDataFrame([(g["key"], g["title"], len(g["url_keys"])) for g in merged], "key string, title string, n int")
+    return issues.merge_groups(_cache(t)).select("key", "title", F.size("url_keys").alias("n"))
+
+
+@query(
+    "enforce_issue_rules",
+    # the stand-in titles are of different events and no article is popular, so an issue of one article does not stay
+    _RECENT_SQL + " SELECT '일반|ai:' || i AS key, source || ' 배 ' || i AS title, array_to_string(url_keys, ',') AS keys FROM cached WHERE len(url_keys) >= 2 UNION ALL SELECT '일반|ai:misc', '기타', string_agg(url_keys[1], ',' ORDER BY i) FROM cached WHERE len(url_keys) = 1 HAVING count(*) > 0",
+)
+def _(t):
+    return issues.enforce_groups(_cache(t).drop("source"), _recent(t).drop("source")).select("key", "title", F.array_join("url_keys", ",").alias("keys"))
 
 
-@query("enforce_issue_rules")
+@query("parse_date", " SELECT id, CASE WHEN published_at = '' THEN '' WHEN length(published_at) = 10 THEN published_at ELSE strftime(CAST(published_at AS TIMESTAMP) - INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S.000Z') END AS parsed FROM articles")
 def _(t):
-    kept = issues.enforce(_cache(t), _recent(t), "일반")
-    return t.spark.createDataFrame([(g["key"], g["title"], json.dumps(g["url_keys"])) for g in kept], "key string, title string, url_keys string")
+    return t.articles().select("id", parse_date_c(F.col("published_at")).alias("parsed"))

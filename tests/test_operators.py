@@ -138,9 +138,26 @@ def test_model_answer_and_default_provider():
     cache, _ = issues.classify(arts, [], "일반", Rules().group)
     assert [g["url_keys"] for g in cache] == [["k0", "k1"], ["k2"]] and cache[0]["key"] == "일반|ai:0"
     assert issues.classify(arts, cache, "일반", lambda a, c: "nothing")[0] is cache
+    misc = issues.groups_of(json.dumps([{"title": "기타리스트 공연", "indices": [0, 1]}, {"title": "그 밖의 소식", "indices": [2]}]), arts, {"그 밖의 소식"})
+    assert [(g["title"], bool(g.get("misc"))) for g in misc] == [("기타리스트 공연", False), ("기타", True)]
     assert issues.rule_key("신진서 최정 대결", "바둑") == "바둑|신진서|최정" and issues.rule_key("x", "사회") == ""
 
 
+def test_cached_issues_of_a_page(spark):
+    cards = [(1, "a", "사회", "정치자금법 위반 재판", "", 0), (2, "b", "사회", "허위사실공표 혐의", "", 0), (3, "c", "바둑", "제3회 부라보콘 어린이 바둑대회 개최", "", 0), (4, "d", "바둑", "일반 소식", "", 1), (5, "e", "바둑", "한 소식", "", 0)]
+    cards = spark.createDataFrame(cards, "ord int, url_key string, category string, title string, summary string, related_count int")
+    cache = [(0, "일반|ai:0", "정치자금법 재판", ["a", "b", "gone"]), (1, "바둑|ai:1", "소식", ["d"]), (2, "바둑|ai:2", "단신", ["e"]), (3, "바둑|ai:misc", "기타", ["c"])]
+    cache = spark.createDataFrame(cache, "ord int, key string, title string, url_keys array<string>")
+    got = [(r.key, r.url_keys) for r in issues.normalized(cards, cache).orderBy("ord").collect()]
+    assert got == [("일반|ai:0", ["a"]), ("바둑|ai:1", ["d"]), ("바둑|ai:event:c", ["c"]), ("일반|ai:misc", ["b", "e"])]
+
+
+def test_issues_without_a_cache(spark):
+    cards = [(1, "신진서 최정 대결", "", "바둑", 2, "2026-01-02"), (2, "최정 신진서 또 대결", "", "바둑", 0, "2026-01-09"), (3, "x", "", "사회", 0, "2026-01-08")]
+    cards = spark.createDataFrame(cards, "ord int, title string, summary string, category string, related_count int, at string")
+    assert [tuple(r) for r in issues.fallback_issues(cards).collect()] == [(1, "바둑|신진서|최정", "신진서 · 최정", 4, "2026-01-02")]
+
+
 def test_tiles_reserve_tournaments(spark):
     rows = [(f"x|ai:{i}", f"일반 {i}", 100 - i, "2024", 0.0) for i in range(6)] + [(f"x|ai:t{i}", f"대회 {i}", 1, "2024", 0.0) for i in range(3)] + [("x|ai:misc", "기타", 999, "2024", 0.0)]
     counts = spark.createDataFrame(rows, "key string, title string, count long, latest string, score double")

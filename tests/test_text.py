@@ -49,6 +49,18 @@ def test_dates():
     assert times.parse_date("2026-08-12 25:10") == times.parse_date("nonsense") == times.parse_date(None) == ""
 
 
+def test_date_column(spark):
+    written = ["2026-08-14", "2026.8.4", "2026-08-12 05:10", "2026.08.12 오후 2:10", "2026.08.12 오전 12:00", "2026/08/12 오후 12:05:09", "2026-08-12T05:10:00+09:00", "2026-08-12 25:10", "2026-08-12 오후 13:10", "nonsense", None, " 2026-01-02 "]
+    rows = spark.createDataFrame([(x,) for x in written], "x string").select("x", times.parse_date_c(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [times.parse_date(r.x) for r in rows]
+
+
+def test_elements():
+    page = "<div id='x'><div>a</div><p>b</p></DIV><div>tail</div>"
+    assert extract.element(page, 0) == "<div id='x'><div>a</div><p>b</p></DIV>"
+    assert extract.element("<div><p>open", 0, fallback=7) == "<div><p" and extract.element("text <b>x</b>", 0, fallback=4) == "text"
+
+
 def test_addresses():
     c = extract.canonical_url
     assert c("https://M.Example.com/a/?utm_source=x&b=1&referrer=y#top") == "https://example.com/a/?b=1"
