@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With this setting, what a write shuffled is removed when the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words of most contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,40 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Just these columns. An exact name wins over one that differs in case, so that extra columns never clash.
+def place(df: DataFrame, name: str) -> int:
+    """Where the column stands. An exact name wins over one that differs in case, so that extra columns never clash."""
+    have = df.columns
+    return have.index(name) if name in have else [x.lower() for x in have].index(name.lower())
+
 
-    Rows go to Python in batches of a few MB, whatever the length of texts."""
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns named by place, so that no two clash. Rows go to Python in batches of a few MB, whatever the length of texts."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         df.sparkSession.conf.set(key, str(most))
-    have = df.columns
-    plain = df.toDF(*[f"c{i}" for i in range(len(have))])
-    out = []
-    for name in names:
-        at = have.index(name) if name in have else [x.lower() for x in have].index(name.lower())
-        out.append(F.col(f"c{at}").alias(name))
-    return plain.select(*out)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns."""
+    return numbered(df).select(*[F.col(f"c{place(df, x)}").alias(x) for x in names])
 
 
 def carried(df: DataFrame, *names: str) -> DataFrame:
-    """pick(), and all columns of df as the struct 'rest'."""
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    rest = F.struct(*[F.col(f"c{i}").alias(x) for i, x in enumerate(df.columns)]).alias("rest")
-    picked = [F.col(f"c{df.columns.index(x) if x in df.columns else [y.lower() for y in df.columns].index(x.lower())}").alias(x) for x in names]
-    return plain.select(*picked, rest)
+    """pick(), and all columns of df as the struct 'rest', which restored() takes apart."""
+    rest = F.struct(*[F.col(f"c{i}") for i in range(len(df.columns))]).alias("rest")
+    return numbered(df).select(*[F.col(f"c{place(df, x)}").alias(x) for x in names], rest)
+
+
+def restored(df: DataFrame, like: DataFrame, *more: str, **new) -> DataFrame:
+    """The columns of like out of 'rest', with new ones in the place of those that place() finds for their names, and more columns of df."""
+    instead = {place(like, k): c for k, c in new.items() if k.lower() in [x.lower() for x in like.columns]}
+    out = df.select(*[instead.get(i, F.col("rest").getField(f"c{i}")).alias(f"c{i}") for i in range(len(like.columns))], *more)
+    return out.toDF(*like.columns, *more)
 
 
 def filtered(df: DataFrame, keep) -> DataFrame:
     """The rows of df, all columns, for whose texts keep() (made once a task by calling it) says so."""
-    at = df.columns.index("text")
+    at = place(df, "text")
 
     def run(batches):
         judge = keep()
         for b in text_batches(batches, text=f"c{at}"):
             yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
 
-    pick(df, "text")  # sets the size of batches
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain = numbered(df)
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
@@ -72,7 +81,12 @@ def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if kept is None else spark.conf.set(CLEANUP, kept)
     del df
     if free:
         gc.collect()

@@ -1,23 +1,30 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items;
-each text is scanned once and hits are mapped back to offsets of the original."""
+each text is scanned once and hits are mapped back to offsets of the original.
+
+The automaton is broadcast as the items it is built from, and built once in a worker process. A benchmark of more than
+MOST_BENCHMARK_BYTES is cut into shards of windows, each within the bound; documents are then scanned once a shard, and the
+hits of all shards are united."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import filtered, pick, table, text_batches
+from .common import numbered, pick, place, table, text_batches, written
 
 WINDOW = 13
 #: ASCII but letters and digits separates words; A-Z becomes a-z.
 _TO = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-#: The automaton is built in every Python worker, so the benchmark must be of a proven size; about 40 bytes of automaton a byte of window.
+#: The automaton is built in every Python worker, so its text must be of a proven size; about 40 bytes of automaton a byte of window.
 MOST_BENCHMARK_BYTES = 4 << 20
+PIECE = 1000  # windows; longer items are cut into pieces of so many, which overlap by a window less a word
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -44,15 +51,26 @@ def automaton(items: list[tuple[str | None, str | None]], size: int = WINDOW) ->
     return auto
 
 
-def scan(auto, text: str | None) -> tuple[int, int, list[str], list[dict]]:
-    """Words, words hit, items found, merged spans of the original text in code points."""
+_built: dict = {}
+
+
+def _kept(key: str, items: list, size: int) -> ahocorasick.Automaton:
+    """The automaton of this key, built once in a worker process; the one before it goes."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = automaton(items, size)
+    return _built[key]
+
+
+def hits(auto, text: str | None) -> tuple[int, bytearray, set[str]]:
+    """Words, which of them are hit (empty: none), items found."""
     words = words_of(text)
     if not words or not len(auto):
-        return len(words), 0, [], []
+        return len(words), bytearray(), set()
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     found = list(auto.iter(line))
     if not found:
-        return len(words), 0, [], []
+        return len(words), bytearray(), set()
     ends, at, seen = {}, 0, -1
     for end, _ in found:  # ends come in ascending order
         if end != seen:
@@ -65,62 +83,130 @@ def scan(auto, text: str | None) -> tuple[int, int, list[str], list[dict]]:
         k = ends[end]
         hit[k - n : k] = b"\1" * n
         items.update(ids)
+    return len(words), hit, items
+
+
+def spans_of(text: str | None, hit: bytearray) -> list[dict]:
+    """Merged spans of the words hit, in code points of the original text."""
     spans: list[dict] = []
     last = -2
-    for i, m in enumerate(_WORD.finditer(text)):
+    for i, m in enumerate(_WORD.finditer(text) if any(hit) else ()):
         if hit[i]:
             if last == i - 1:
                 spans[-1]["end"] = m.end()
             else:
                 spans.append({"start": m.start(), "end": m.end()})
             last = i
-    return len(words), sum(hit), sorted(items), spans
+    return spans
+
+
+def scan(auto, text: str | None) -> tuple[int, int, list[str], list[dict]]:
+    """Words, words hit, items found, merged spans of the original text in code points."""
+    n, hit, items = hits(auto, text)
+    return n, sum(hit), sorted(items), spans_of(text, hit)
+
 
+def _pieces(items: DataFrame, size: int) -> DataFrame:
+    """Items as (item_id, text) of PIECE windows at most: no window is lost and none is made."""
+
+    def run(batches):
+        for b in text_batches(batches):
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(text)
+                rows += [(item, b" ".join(w[i : i + PIECE + size - 1]).decode("utf-8", "surrogatepass")) for i in range(0, max(1, len(w) - size + 1), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "text"])
 
-def _items(benchmark: DataFrame, most_bytes: int):
-    """The items as a broadcast value; refused if they are over the bound."""
-    items = pick(benchmark, "item_id", "text")
+    return items.mapInArrow(run, "item_id string, text string")
+
+
+def _shards(benchmark: DataFrame, most_bytes: int, size: int) -> list:
+    """Broadcast lists of (item, text), each of about most_bytes of text at most, and a key for each."""
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the benchmark has {total} bytes, more than the {most_bytes} allowed for one automaton")
-    return benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select(F.col("item_id").cast("string"), "text").collect()])
+    n = -(-total // most_bytes) or 1
+    if n > 1:
+        n *= 2  # as a hash deals them out, some shards get more than others
+        items = written(_pieces(items, size).withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "benchmark-pieces")
+    context = benchmark.sparkSession.sparkContext
+    for k in range(n):
+        part = items.filter(F.col("shard") == k).drop("shard") if n > 1 else items
+        yield n, k, context.broadcast([tuple(r) for r in part.collect()]), uuid.uuid4().hex
+
+
+def _first_shards(docs: DataFrame, benchmark: DataFrame, size: int, most_bytes: int, text: str):
+    """(docs with the words hit of all shards but the last as 'hit' and their items as 'found', the last shard's items and key).
+    A benchmark of one shard leaves docs as they are."""
+    for n, k, sent, key in _shards(benchmark, most_bytes, size):
+        if k == n - 1:
+            return docs, sent, key
+        at, old = docs.columns.index(text), len(docs.columns) - 2 if k else None
+
+        def run(batches, sent=sent, key=key, at=at, old=old):
+            auto = _kept(key, sent.value, size)
+            for b in text_batches(batches, text=text):
+                texts = b.column(at).to_pylist()
+                before = zip(b.column(old).to_pylist(), b.column(old + 1).to_pylist(), strict=True) if old else [(b"", [])] * len(texts)
+                united = [_united(hits(auto, t), *x) for t, x in zip(texts, before, strict=True)]
+                columns = list(b.columns[:old]) + [pa.array([bytes(x[1]) for x in united], pa.binary()), pa.array([sorted(x[2]) for x in united], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:old], "hit", "found"])
+
+        plain = docs.drop("hit", "found")
+        fields = [*plain.schema.fields, T.StructField("hit", T.BinaryType()), T.StructField("found", T.ArrayType(T.StringType()))]
+        docs = written(docs.mapInArrow(run, T.StructType(fields)), "benchmark-hits")
+
+
+def _united(now: tuple[int, bytearray, set[str]], hit: bytes, items: list[str]) -> tuple[int, bytearray, set[str]]:
+    """hits() of one shard with those of the shards before it."""
+    n, mine, found = now
+    both = bytearray(x | y for x, y in zip(mine, hit, strict=True)) if mine and hit else mine or bytearray(hit)
+    return n, both, found.union(items)
+
+
+def _judged(batch: pa.RecordBatch, auto, at: int) -> list[tuple[int, bytearray, set[str]]]:
+    """hits() of each text of a batch, with what earlier shards found."""
+    now = [hits(auto, t) for t in batch.column(at).to_pylist()]
+    if "hit" not in batch.schema.names:
+        return now
+    before = zip(batch.column("hit").to_pylist(), batch.column("found").to_pylist(), strict=True)
+    return [_united(x, *y) for x, y in zip(now, before, strict=True)]
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (ids of the items found, as sorted strings), spans.
 
     Null or wordless text: no words, nothing found. Items without words are never found; items with a null id hit words but
-    are not listed; items that share an id count as one. A benchmark of over most_bytes is refused, as its automaton would
-    not fit beside the workers. Empty tables give no rows or no hits. Other columns are not looked at."""
-    sent = _items(benchmark, most_bytes)
+    are not listed; items that share an id count as one. Over most_bytes of benchmark take a scan a shard. Empty tables give no
+    rows or no hits. Repeated rows are judged alike; other columns are not looked at."""
+    docs, sent, key = _first_shards(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), benchmark, size, most_bytes, "text")
 
     def run(batches):
-        auto = automaton(sent.value, size)
+        auto = _kept(key, sent.value, size)
         for b in text_batches(batches):
-            rows = [scan(auto, t) for t in b.column(1).to_pylist()]
-            n, hit, ids, spans = map(list, zip(*rows, strict=True))
+            rows = _judged(b, auto, 1)
+            spans = [spans_of(t, x[1]) for t, x in zip(b.column(1).to_pylist(), rows, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [b.column(0), pa.array([x[0] for x in rows], pa.int64()), pa.array([sum(x[1]) for x in rows], pa.int64()), pa.array([sorted(x[2]) for x in rows], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BENCHMARK_BYTES) -> DataFrame:
-    """The rows that are not contaminated, all columns."""
-    sent = _items(benchmark, most_bytes)
-
-    def keep():
-        auto = automaton(sent.value, size)
+    """The rows that are not contaminated, all columns whatever their names. Null and wordless texts stay, as do all rows if the
+    benchmark is empty; an empty table gives an empty result; repeated rows go or stay alike."""
+    at, plain = place(docs, "text"), numbered(docs)
+    found, sent, key = _first_shards(plain, benchmark, size, most_bytes, f"c{at}")
 
-        def judge(texts):
-            found = [scan(auto, t)[:2] for t in texts]
-            return [hit == 0 or 20 * hit < n for n, hit in found]
-
-        return judge
+    def run(batches):
+        auto = _kept(key, sent.value, size)
+        for b in text_batches(batches, text=f"c{at}"):
+            keep = [not any(hit) or 20 * sum(hit) < n for n, hit, _ in _judged(b, auto, at)]
+            yield b.select(list(plain_names)).filter(pa.array(keep, pa.bool_()))
 
-    return filtered(docs, keep)
+    plain_names = tuple(plain.columns)
+    return found.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def contaminated():

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import carried, mix, pick, table, text_batches, window_hashes, word_hashes, written
+from .common import carried, mix, pick, restored, table, text_batches, window_hashes, word_hashes, written
 from .components import components
 
 SHINGLE, GROUPS, COARSE, LEAF = 5, 512, 64, 64
@@ -193,8 +193,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     points = written(_points(docs), "jaccard-points")
     real = points.filter("n > 0 and doc_id is not null")
     classes = written(real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("representative")), "jaccard-classes")
-    copies = real.join(classes, ["k1", "k2", "n"]).filter("doc_id <> representative").select("doc_id").distinct()
-    own = real.join(copies, "doc_id", "left_anti")
+    copies = real.join(classes, ["k1", "k2", "n"]).filter("doc_id <> representative").select("doc_id", "k1", "k2", "n").distinct()
+    own = real.join(copies, ["doc_id", "k1", "k2", "n"], "left_anti")
     same = Window.partitionBy("h")
     trees = own.select(F.explode("prefix").alias("h"), "doc_id", "n").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).filter("low < high").select("h", "doc_id", "n", "low")
     trees = written(trees, "jaccard-trees")
@@ -229,9 +229,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = carried(docs, "doc_id", "text").select("rest", "doc_id", F.xxhash64("text").alias("mark"))
     out = rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     if rows.filter("doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
-        return out.select("rest.*")
+        return restored(out, docs)
     number = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
-    return out.withColumn("n", number).filter("doc_id is null or n = 1").select("rest.*")
+    return restored(out.withColumn("n", number).filter("doc_id is null or n = 1"), docs)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

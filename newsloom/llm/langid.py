@@ -2,7 +2,8 @@
 
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces, by the forward algorithm; a text's score is the sum over its words. The piece
-probabilities are learned by expectation maximisation over a bounded sample of labelled rows."""
+probabilities are learned by expectation maximisation over a bounded sample of labelled rows: the words are counted and
+their expected pieces summed on the executors, so that the driver holds one number a piece and language only."""
 
 from __future__ import annotations
 
@@ -14,58 +15,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered, pick, table, text_batches
+from .common import drop_table, filtered, mix, pick, table, text_batches, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-MOST_PIECE = 7  # bytes of a piece at most: with its length it fits 64 bits
-MOST_WORD = 48  # bytes; longer words are scored in parts of this length
-#: The bound of the training sample: documents of a language (by hash), distinct (language, word) pairs in all, letters of a word.
-SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_LETTERS = 1000, 200_000, 128
-ROUNDS = 3
-_WORDS = re.compile(r"[^\W\d_]+")
+#: The bound of the training sample: documents of a language (by hash), letters of a word.
+SAMPLE_DOCS, SAMPLE_LETTERS = 1000, 128
+ROUNDS, BUCKETS = 3, 8  # of expectation maximisation; words are dealt out to so many buckets, whose sums are added in order
+#: A letter is a word character that is neither a digit or other number nor an underscore.
+_RUNS = re.compile(r"[^\W\d_]+")
 _SCALE = 100.0  # a factor a byte that keeps products in range
-
-
-def load_pieces(path: str) -> np.ndarray:
-    """Sorted keys (length and bytes in 64 bits) of the vocabulary's pieces of up to MOST_PIECE bytes; all single bytes are in."""
-    with open(path, "rb") as f:
-        pieces = {base64.b64decode(x.split()[0]) for x in f if x.strip()}
-    pieces |= {bytes([i]) for i in range(256)}
-    return np.array(sorted((len(p) << 56) | int.from_bytes(p, "big") for p in pieces if 0 < len(p) <= MOST_PIECE), dtype=np.uint64)
+_WIDE = 64  # bytes; longer words are scored one by one
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case. Numbers such as one half or a roman numeral sign are no letters."""
+    out = []
+    for w in _RUNS.findall(text.lower()) if text else ():
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
+class Pieces:
+    """The vocabulary's pieces, found by their length and a hash of their bytes. A piece's number is its place in order of length
+    and hash."""
+
+    def __init__(self, pieces: set[bytes]):
+        by_length: dict[int, list[bytes]] = {}
+        for p in pieces:
+            by_length.setdefault(len(p), []).append(p)
+        self.keys, self.first, self.size = {}, {}, 0
+        for n in sorted(k for k in by_length if k):
+            a = np.frombuffer(b"".join(by_length[n]), np.uint8).reshape(-1, n)
+            self.keys[n], self.first[n] = np.sort(hashes(a, n)[:, 0]), self.size
+            self.size += len(a)
+        self.most = max(self.keys)
+
+    @classmethod
+    def load(cls, path: str = VOCABULARY) -> Pieces:
+        """All pieces of a vocabulary file, and all single bytes."""
+        with open(path, "rb") as f:
+            return cls({base64.b64decode(x.split()[0]) for x in f if x.strip()} | {bytes([i]) for i in range(256)})
+
+    def lengths(self) -> np.ndarray:
+        return np.repeat([float(n) for n in self.keys], [len(k) for k in self.keys.values()])
+
+    def find(self, a: np.ndarray, n: int) -> np.ndarray:
+        """a: rows of bytes. [row, start]: the number of the piece of n bytes that starts there, or -1."""
+        want = hashes(a, n)
+        keys = self.keys[n]
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[at] == want, at + self.first[n], -1)
+
+
+def hashes(a: np.ndarray, n: int) -> np.ndarray:
+    """[row, start]: a hash of the n bytes from start on; up to 8 bytes it tells all strings apart."""
+    out = np.zeros((len(a), a.shape[1] - n + 1), np.uint64)
+    for k in range(n):
+        out *= np.uint64(256) if n <= 8 else _BASE
+        out += a[:, k : a.shape[1] - n + 1 + k]
+    return out if n <= 8 else mix(out)
 
 
 class Lattice:
-    """The pieces found at each place of some words. ids[(end, length)]: piece of each word that ends there, or -1."""
+    """The pieces found at each place of some words: (end, length) with the words that have one there, and the pieces."""
 
-    def __init__(self, keys: np.ndarray, words: list[bytes]):
+    def __init__(self, pieces: Pieces, words: list[bytes]):
         self.lengths = np.array([len(w) for w in words])
         width = int(self.lengths.max(initial=0))
         self.width = width
         a = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
-        self.ids = {}
-        for end in range(1, width + 1):
-            inside = self.lengths >= end
-            packed = np.zeros(len(words), np.uint64)
-            for n in range(1, min(MOST_PIECE, end) + 1):
-                packed |= a[:, end - n].astype(np.uint64) << np.uint64(8 * (n - 1))
-                want = packed | np.uint64(n << 56)
-                at = np.searchsorted(keys, want)
-                ok = inside & (keys[np.minimum(at, len(keys) - 1)] == want)
-                if ok.any():
-                    self.ids[end, n] = (np.flatnonzero(ok), at[ok])
+        found = []
+        for n in pieces.keys:
+            if n <= width:
+                ids = pieces.find(a, n)
+                ids[np.arange(width - n + 1)[None, :] + n > self.lengths[:, None]] = -1
+                for start in np.flatnonzero((ids >= 0).any(axis=0)).tolist():
+                    rows = np.flatnonzero(ids[:, start] >= 0)
+                    found.append((start + n, n, rows, ids[rows, start]))
+        self.found = sorted(found, key=lambda x: x[:2])
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """[place, word, language]: scaled probability of the first bytes, over all segmentations. p: [piece, language]."""
         alpha = np.zeros((self.width + 1, len(self.lengths), p.shape[1]))
         alpha[0] = 1
-        for (end, n), (rows, piece) in self.ids.items():
+        for end, n, rows, piece in self.found:
             alpha[end, rows] += alpha[end - n, rows] * p[piece] * _SCALE**n
         return alpha
 
     def backward(self, p: np.ndarray) -> np.ndarray:
         beta = np.zeros((self.width + 1, len(self.lengths), p.shape[1]))
         beta[self.lengths, np.arange(len(self.lengths))] = 1
-        for (end, n), (rows, piece) in reversed(self.ids.items()):
+        for end, n, rows, piece in reversed(self.found):
             beta[end - n, rows] += beta[end, rows] * p[piece] * _SCALE**n
         return beta
 
@@ -75,31 +116,77 @@ class Lattice:
         return np.log(np.maximum(total, 1e-300)) - self.lengths[:, None] * np.log(_SCALE)
 
 
-def parts(word: str) -> list[bytes]:
-    w = b" " + word.encode("utf-8", "surrogatepass")
-    return [w[i : i + MOST_WORD] for i in range(0, len(w), MOST_WORD)]
-
-
-def learn(keys: np.ndarray, langs: list[str], counts: list[tuple[str, str, int]], rounds: int = ROUNDS) -> np.ndarray:
-    """[piece, language] probabilities from (lang, word, count)."""
-    table_: dict[bytes, np.ndarray] = {}
-    for lang, word, n in counts:
-        for w in parts(word):
-            table_.setdefault(w, np.zeros(len(langs)))[langs.index(lang)] += n
-    words = sorted(table_, key=lambda w: (len(w), w))
-    lengths = (keys >> np.uint64(56)).astype(float)
-    p = np.repeat((0.05**lengths / (0.05**lengths).sum())[:, None], len(langs), axis=1)
-    chunks = [words[i : i + 8192] for i in range(0, len(words), 8192)]
-    for _ in range(rounds):
-        seen = np.full(p.shape, 0.05)
-        for chunk in chunks:
-            lattice = Lattice(keys, chunk)
-            alpha, beta = lattice.forward(p), lattice.backward(p)
-            weight = np.array([table_[w] for w in chunk]) / np.maximum(beta[0], 1e-300)
-            for (end, n), (rows, piece) in lattice.ids.items():
-                np.add.at(seen, piece, alpha[end - n, rows] * p[piece] * _SCALE**n * beta[end, rows] * weight[rows])
-        p = seen / seen.sum(axis=0)
-    return p
+def long_score(pieces: Pieces, word: bytes, p: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+    """[language]: log probability of one word of any length; only the last places that a piece can reach are kept, and they are
+    brought back into range now and then."""
+    most = pieces.most
+    last = [np.ones(p.shape[1])] + [np.zeros(p.shape[1])] * (most - 1)  # last[k]: the place k before the current one
+    log, a = np.zeros(p.shape[1]), np.frombuffer(word, np.uint8)
+    for low in range(0, len(a), chunk):
+        start = max(0, low - most)
+        part = a[start : low + chunk]
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(part) + 1)]
+        for n in pieces.keys:
+            if n <= len(part):
+                ids = pieces.find(part[None, :], n)[0]
+                for at in np.flatnonzero(ids >= 0).tolist():
+                    ends[at + n].append((n, int(ids[at])))
+        for end in range(low - start + 1, len(part) + 1):
+            new = np.zeros(p.shape[1])
+            for n, piece in ends[end]:
+                new = new + last[n - 1] * p[piece] * _SCALE**n
+            last = [new, *last[:-1]]
+            if end % 16 == 0:
+                top = np.maximum(np.max(last, axis=0), 1e-300)
+                last = [x / top for x in last]
+                log += np.log(top)
+    return np.log(np.maximum(last[0], 1e-300)) + log - len(a) * np.log(_SCALE)
+
+
+def spelled(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "surrogatepass")
+
+
+def word_scores(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """[word, language]: log probabilities."""
+    raw = [spelled(w) for w in words]
+    out = np.zeros((len(words), p.shape[1]))
+    for at in _chunks(raw, 1 << 16):
+        out[at] = Lattice(pieces, [raw[i] for i in at]).scores(p)
+    for i, w in enumerate(raw):
+        if len(w) > _WIDE:
+            out[i] = long_score(pieces, w, p)
+    return out
+
+
+def _chunks(raw: list[bytes], most: int, wide: int = _WIDE):
+    """Numbers of the words of up to wide bytes, of like length together, so that a lattice has about most places."""
+    order = sorted((i for i in range(len(raw)) if len(raw[i]) <= wide), key=lambda i: len(raw[i]))
+    at = 0
+    while at < len(order):
+        n = at
+        while n < len(order) and (n == at or (n - at + 1) * len(raw[order[n]]) <= most):
+            n += 1
+        yield order[at:n]
+        at = n
+
+
+def start(pieces: Pieces, langs: int) -> np.ndarray:
+    """[piece, language]: probabilities before any training."""
+    p = 0.05 ** pieces.lengths()
+    return np.repeat((p / p.sum())[:, None], langs, axis=1)
+
+
+def expected(pieces: Pieces, p: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """[piece, language]: how often each piece is expected in words that occur counts [word, language] times."""
+    raw, seen = [spelled(w) for w in words], np.zeros(p.shape)
+    for at in _chunks(raw, 1 << 16, 4 * SAMPLE_LETTERS + 1):
+        lattice = Lattice(pieces, [raw[i] for i in at])
+        alpha, beta = lattice.forward(p), lattice.backward(p)
+        weight = counts[at] / np.maximum(beta[0], 1e-300)
+        for end, n, rows, piece in lattice.found:
+            np.add.at(seen, piece, alpha[end - n, rows] * p[piece] * _SCALE**n * beta[end, rows] * weight[rows])
+    return seen
 
 
 class Model:
@@ -107,8 +194,8 @@ class Model:
 
     MOST = 200_000
 
-    def __init__(self, keys: np.ndarray, langs: list[str], p: np.ndarray):
-        self.keys, self.langs, self.p = keys, langs, p
+    def __init__(self, pieces: Pieces, langs: list[str], p: np.ndarray):
+        self.pieces, self.langs, self.p = pieces, langs, p
         self.clear()
 
     def clear(self) -> None:
@@ -121,18 +208,12 @@ class Model:
         n = len(self.at)
         while len(self.known) < n + len(words):
             self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        cut = [(i, w) for i, word in enumerate(words) for w in parts(word)]
-        cut.sort(key=lambda x: len(x[1]))
-        new = np.zeros((len(words), len(self.langs)))
-        for k in range(0, len(cut), 4096):
-            chunk = cut[k : k + 4096]
-            np.add.at(new, [i for i, _ in chunk], Lattice(self.keys, [w for _, w in chunk]).scores(self.p))
-        self.known[n : n + len(words)] = new
+        self.known[n : n + len(words)] = word_scores(self.pieces, words, self.p)
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, posterior probability) of each text under equal priors; ('und', 0) without a letter."""
-        found = [_WORDS.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t) for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         new = sorted({w for ws in found for w in ws} - self.at.keys())
@@ -157,20 +238,47 @@ def held_out(modulus: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """A model from rows with text and lang. About sample_docs documents of each language (chosen by a hash of the id) give word
-    counts, of which the sample_words most frequent are used: that bounds what comes to the driver. Rows with null are skipped."""
+def train(labelled: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, every: bool = True) -> Model:
+    """A model from rows with text and lang; unless every, rows that held_out() names are left out. About sample_docs documents of
+    each language (chosen by a hash of the id) are learned from, with all their words of up to SAMPLE_LETTERS letters. Rows with
+    null are skipped."""
+    spark = labelled.sparkSession
     rows = pick(labelled, "doc_id", "text", "lang").filter("text is not null and lang is not null")
+    rows = rows if every else rows.filter(~held_out())
     per = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    langs = sorted(per)
+    langs, pieces = sorted(per), Pieces.load(vocabulary)
+    p = start(pieces, len(langs))
     if not langs:
-        return Model(load_pieces(vocabulary), [], np.zeros((1, 0)))
+        return Model(pieces, langs, p)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, sample_docs / n))]), F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word") <= SAMPLE_LETTERS).groupBy("lang", "word").count()
-    top = [tuple(r) for r in words.orderBy(F.desc("count"), "lang", "word").limit(sample_words).collect()]
-    keys = load_pieces(vocabulary)
-    return Model(keys, langs, learn(keys, langs, top))
+
+    def split(batches):
+        for b in text_batches(batches):
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words, n = np.unique(np.array([w for w in words_of(text) if len(w) <= SAMPLE_LETTERS], object), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.string()), pa.array([langs.index(lang)] * len(words), pa.int32()), pa.array(n, pa.int64())], names=["word", "lang", "n"])
+
+    words = chosen.select("text", "lang").mapInArrow(split, "word string, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = written(words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")), "langid-words")
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((pieces, p))
+
+        def expect(t):
+            known, now = sent.value  # noqa: B023
+            every_word = sorted(set(t["word"].to_pylist()))
+            at = {w: i for i, w in enumerate(every_word)}
+            counts = np.zeros((len(at), now.shape[1]))
+            counts[[at[w] for w in t["word"].to_pylist()], t["lang"].to_numpy()] = t["n"].to_numpy()
+            return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "seen": pa.array([expected(known, now, every_word, counts).tobytes()], pa.binary())})
+
+        seen = np.full(p.shape, 0.05)
+        for r in words.groupBy("bucket").applyInArrow(expect, "bucket int, seen binary").orderBy("bucket").toLocalIterator():
+            seen += np.frombuffer(r[1]).reshape(p.shape)
+        p = seen / seen.sum(axis=0)
+        sent.destroy()
+    drop_table(words)
+    return Model(pieces, langs, p)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +286,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null, empty or letterless text: 'und' with score 0, as are all texts if nothing could be learned. Texts of any length are
     scored whole. Repeated rows are judged alike; ties go to the language first in order; other columns are not looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.langs, model.p))
+    sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.langs, model.p))
 
     def run(batches):
         own = Model(*sent.value)
@@ -191,7 +299,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows whose language is told with a probability of at least least: letterless and null texts go, as do undecided ones."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.langs, model.p))
+    sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.langs, model.p))
 
     def keep():
         own = Model(*sent.value)
@@ -202,8 +310,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.filter(~held_out()))
-    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, train(docs, every=False)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op1_langid": op1_langid}
