@@ -198,3 +198,14 @@ READ_FUSE = 1_000_000
 
 #: Titles of no issue in particular, as a whole.
 MISC_TITLE = r"(?:기타|그 밖의)(?:\s*(?:바둑\s*)?(?:소식|뉴스|이슈))?"
+
+# Fixed values of candidates, ledgers and the limits of single days and months.
+GENERIC_TITLES = ("이 시각 주요 뉴스", "오늘의 주요 뉴스", "주요 뉴스", "뉴스 브리핑")
+LOCAL_PRESS = r"(?i)(?:충청|대전|세종|청주|충북|충남|전북|전남|경북|경남|강원|제주|부산|울산|경기|인천).*(?:뉴스|일보|신문|투데이)|(?:중부|제주|경인|영남|호남)(?:매일|일보|신문)"
+READ_LEDGER = "d1_rows_read:"
+TIMELESS_HOST = "baduk.or.kr"
+FREE_CALLS = 4
+DAY_SPEND = {"2026-08-14": 500_000}
+DAY_CALLS = {"2026-08-14": 165}
+MONTH_TARGET = {"2026-08": 6_750_000}
+MONTH_SPEND = {"2026-08": 7_000_000}

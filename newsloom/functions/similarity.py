@@ -99,9 +99,9 @@ def plain_c(c: Column) -> Column:
 
 
 def bigrams_c(plain: Column) -> Column:
-    """Distinct overlapping bigrams of a plain key."""
-    n = F.length(plain)
-    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(plain, i, F.lit(2))))).otherwise(F.expr("cast(array() as array<string>)"))
+    """Distinct overlapping bigrams of a plain key, of any length: its characters are taken apart once, not once a bigram."""
+    letters = F.split(plain, "")
+    return F.array_distinct(F.array_compact(F.zip_with(letters, F.slice(letters, 2, F.length(plain) + 1), lambda x, y: F.concat(x, y))))
 
 
 def chunks_c(key: Column) -> Column:

@@ -95,9 +95,10 @@ def clamped_sum(deltas: Column) -> Column:
 
 
 def counters(deltas: DataFrame) -> DataFrame:
-    """Final value of each key's clamped counter. A key's deltas come together in arrival order, as the result depends on it."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("arrival", "delta"))), lambda x: x["delta"])
-    return deltas.groupBy("key").agg(clamped_sum(steps).alias("value"))
+    """Final value of each key's clamped counter: the sum of its deltas less the lowest point that their running sum reached below 0."""
+    so_far = F.sum("delta").over(Window.partitionBy("key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0))
+    rows = deltas.withColumn("so_far", so_far).groupBy("key").agg(F.sum("delta").alias("total"), F.min("so_far").alias("lowest"))
+    return rows.select("key", (F.col("total") - F.least(F.lit(0).cast("long"), "lowest")).alias("value"))
 
 
 def cache_put(cache: DataFrame, history: DataFrame, category: str, payload: str, built_at: str) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import relational, textual
+from . import relational, textual, upkeep
 
 
 def queries() -> dict:
-    return relational.QUERIES | textual.QUERIES
+    return relational.QUERIES | textual.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql() -> dict:
-    return relational.ORACLE | textual.ORACLE
+    return relational.ORACLE | textual.ORACLE | upkeep.ORACLE

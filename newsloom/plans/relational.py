@@ -394,15 +394,6 @@ def _(t):
     return C.cursor_page(t.articles().select("id"), 120, 25)
 
 
-@query("clamped_counters")
-def _(t):
-    e = t.events().select((F.col("user_id") % 10).alias("key"), F.col("event_id").alias("arrival"), F.when(F.col("event_type") == "error", -F.col("value").cast("long")).otherwise(F.col("value").cast("long")).alias("delta"))
-    return merge.counters(e)
-
-
-# --- reports ------------------------------------------------------------------------------------------------
-
-
 @query("top_popularity_union", "SELECT kind, key, best, latest FROM (SELECT 'key' AS kind, url_key AS key, min(rank) AS best, max(collected_at) AS latest FROM popularity_log GROUP BY 2 UNION ALL SELECT 'title', title, min(rank), max(collected_at) FROM popular_items GROUP BY 2) ORDER BY best, latest DESC, kind, key LIMIT 12")
 def _(t):
     return reports.top_popularity(t.popularity_log(), t.popular_items())

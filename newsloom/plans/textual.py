@@ -33,10 +33,10 @@ def query(name: str, oracle: str | None = None):
 
 def _dated(t: Tables) -> DataFrame:
     when = effective_time(F.col("published_at"), F.col("fetched_at"))
-    return t.articles().select("id", "url_key", "title", "summary", "category", korea_day(when).alias("day"), when.alias("at"))
+    return t.articles().select("id", "url_key", "title", "summary", "body_text", "category", korea_day(when).alias("day"), when.alias("at"))
 
 
-_DATED = ", dated AS (SELECT id, title, summary, strftime(when_ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM timed)"
+_DATED = ", dated AS (SELECT id, split_part(body_text, chr(10), 1) AS title, summary, strftime(when_ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM timed)"
 _STOP = ", ".join(f"'{w}'" for w in fixed.TITLE_STOPWORDS)
 
 
@@ -47,7 +47,7 @@ _STOP = ", ".join(f"'{w}'" for w in fixed.TITLE_STOPWORDS)
     SELECT a.id AS "left", b.id AS "right", count(*) AS shared FROM kept a JOIN kept b ON a.day = b.day AND a.word = b.word AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 3""",
 )
 def _(t):
-    return stories.keyword_pairs(_dated(t))
+    return stories.keyword_pairs(_dated(t).withColumn("title", F.substring_index("body_text", "\n", 1)))
 
 
 def _dice_sql(expression: str, least: float) -> str:
@@ -58,14 +58,15 @@ def _dice_sql(expression: str, least: float) -> str:
     SELECT "left", "right", round(2 * c / (m + n), 6) AS score FROM common WHERE 2 * c / (m + n) >= {least}"""
 
 
-@query("title_dice_pairs", _dice_sql("title", 0.86))
+@query("title_dice_pairs", _dice_sql("split_part(body_text, chr(10), 1)", 0.86))
 def _(t):
-    return stories.dice_pairs(t.articles(), 0.86).withColumn("score", F.round("score", 6))
+    rows = t.articles().select("id", F.substring_index("body_text", "\n", 1).alias("title"))
+    return stories.dice_pairs(rows, 0.86).withColumn("score", F.round("score", 6))
 
 
-@query("first_line_dice_pairs", _dice_sql("split_part(summary, chr(10), 1)", 0.9))
+@query("first_line_dice_pairs", _dice_sql("split_part(body_text, chr(10), 1)", 0.9))
 def _(t):
-    rows = t.articles().select("id", F.substring_index("summary", "\n", 1).alias("line"))
+    rows = t.articles().select("id", F.substring_index("body_text", "\n", 1).alias("line"))
     return stories.dice_pairs(rows, 0.9, "line").withColumn("score", F.round("score", 6))
 
 
@@ -136,12 +137,12 @@ def _(t):
     return t.articles().select("id", X.classify_c(F.col("category"), F.col("title"), F.col("body_text"), LATIN_RULES).alias("topic"))
 
 
-def _rejects(column: str) -> str:
+def rejects_sql(column: str) -> str:
     patterns = (fixed.REJECTED_BARE, fixed.REJECTED_PROMO, fixed.REJECTED_EDITORIAL)
     return f"(contains({column}, '�') OR length({column}) - length(replace({column}, '?', '')) >= 5 OR " + " OR ".join("regexp_matches({}, '(?i){}')".format(column, p.replace("'", "''").replace(r"뉴스\s*]", r"뉴스\s*\]")) for p in patterns) + ")"
 
 
-@query("rejected_titles", f" SELECT doc_id, {_rejects('text')} AS rejected FROM documents")
+@query("rejected_titles", f" SELECT doc_id, {rejects_sql('text')} AS rejected FROM documents")
 def _(t):
     return t.read("documents").select("doc_id", X.rejected_title_c(F.col("text")).alias("rejected"))
 
