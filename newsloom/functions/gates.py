@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,12 +17,20 @@ _SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+(?=[\"'“‘(]?[0-9A-Za-z가-힣])
 _BYLINE = re.compile(r"^(?:[가-힣]{2,4}\s*)?(?:기자|특파원)\s*[=:·-]?\s*")
 
 
-def candidates(text: str | None) -> list[str]:
-    """Sentences up to the first marker of what is not the article."""
+def sentences(text: str | None) -> Iterator[str]:
+    """Sentences up to the first marker of what is not the article, each made when it is asked for."""
     s = normalize(text)
     s = s[: min([len(s), *(at for m in fixed.CUT_MARKERS if (at := s.find(m)) >= 0)])]
-    found = (_BYLINE.sub("", strip_numbering(x)).strip() for x in _SENTENCE.split(s))
-    return [x for x in found if x]
+    start = 0
+    for m in chain(_SENTENCE.finditer(s), [None]):
+        x = _BYLINE.sub("", strip_numbering(s[start : m.start() if m else len(s)])).strip()
+        start = m.end() if m else len(s)
+        if x:
+            yield x
+
+
+def candidates(text: str | None) -> list[str]:
+    return list(sentences(text))
 
 
 def tidy(line: str) -> str:
@@ -39,8 +49,10 @@ def usable(line: str, title: str = "") -> bool:
 def build_summary(title: str | None, raw: str | None, body: str | None, most: int = 3) -> str:
     """The first usable sentences that do not nearly repeat one another, numbered."""
     lines: list[str] = []
-    for x in map(tidy, [*candidates(raw), *candidates(body)]):
-        if len(lines) < most and usable(x, title or "") and not any(near_duplicate(y, x) for y in lines):
+    for x in map(tidy, chain.from_iterable(map(sentences, (raw, body)))):
+        if len(lines) >= most:
+            break  # what follows is not even taken apart
+        if usable(x, title or "") and not any(near_duplicate(y, x) for y in lines):
             lines.append(x)
     return "\n".join(f"{i}) {x}" for i, x in enumerate(lines, 1))
 

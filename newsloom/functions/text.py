@@ -4,6 +4,7 @@ is a column expression."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,8 +41,14 @@ def _code_point(digits: str, base: int) -> str:
 
 
 def normalize(value: str | None) -> str:
-    """Tags and entities out, white space and Korean particles set right. '&amp;' goes before '&lt;', so '&amp;lt;' becomes '<'."""
-    s = re.sub(r"<[^>]+>", " ", value or "")
+    """Tags and entities out, white space and Korean particles set right. '&amp;' goes before '&lt;', so '&amp;lt;' becomes '<'.
+
+    Lines are normalised by each test they go through; those of usual length are remembered for a while."""
+    return (_normal_line if len(value or "") <= 1000 else _normal)(value or "")
+
+
+def _normal(value: str) -> str:
+    s = re.sub(r"<[^>]+>", " ", value)
     for pattern, to in _ENTITY_ORDER:
         s = re.sub(pattern, to, s, flags=re.I)
     s = re.sub(r"&([a-z][a-z0-9]+);", lambda m: fixed.ENTITIES.get(m[1].lower(), m[0]), s, flags=re.I)
@@ -54,6 +61,9 @@ def normalize(value: str | None) -> str:
     return s.strip()
 
 
+_normal_line = lru_cache(1 << 12)(_normal)
+
+
 def strip_numbering(value: str | None) -> str:
     return _NUMBERING.sub("", normalize(value), count=1).strip()
 

@@ -89,11 +89,6 @@ def within_days(rows: DataFrame, time: str, now: str, days: int) -> DataFrame:
     return rows.filter(F.col(time) >= F.to_timestamp(F.lit(now)) - F.expr(f"interval {days} days"))
 
 
-def clamped_sum(deltas: Column) -> Column:
-    """A counter that never falls below 0, over deltas in order: max(0, value + delta) each time."""
-    return F.aggregate(deltas, F.lit(0).cast("long"), lambda acc, d: F.greatest(F.lit(0).cast("long"), acc + d))
-
-
 def counters(deltas: DataFrame) -> DataFrame:
     """Final value of each key's clamped counter: the sum of its deltas less the lowest point that their running sum reached below 0."""
     so_far = F.sum("delta").over(Window.partitionBy("key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0))

@@ -217,3 +217,38 @@ def test_stream_of_hosts(spark, tmp_path):
     want = control.quarantine(df.withColumnRenamed("ts", "at")).orderBy("id").toPandas()
     pd.testing.assert_frame_equal(got, want)
     assert got.skipped.tolist() == [False] * 5 + [True] * 2 + [False]
+
+
+def test_outcome_rules_in_order(spark):
+    from newsloom.operators import candidates, upkeep
+
+    base = {"used": 0, "url": "https://a.example.com/1", "title": "t", "discovery": "NAVER", "published": "2024-01-30 00:00:00", "stored_quality": None, "has_capacity": True, "may_retry": True, "valid": True, "bucket": "general", "is_popular": False, "press": "p", "body_length": 500, "is_duplicate": False}
+    cases = [
+        ({}, "inserted_publishable"), ({"valid": None}, "inserted_pending_summary"), ({"is_duplicate": True}, "inserted_duplicate"), ({"body_length": 179}, "body_too_short"),
+        ({"press": "충북일보"}, "local_general_filtered"), ({"press": "충북일보", "is_popular": True}, "inserted_publishable"), ({"press": "충북일보", "bucket": "baduk"}, "inserted_publishable"),
+        ({"has_capacity": False}, "daily_publish_limit"), ({"has_capacity": False, "stored_quality": "none"}, "existing_repair_over_daily_limit"), ({"stored_quality": "full", "has_capacity": False}, "existing_full"),
+        ({"stored_quality": "none", "may_retry": False}, "existing_repair_deferred"), ({"stored_quality": "none"}, "existing_repaired"), ({"stored_quality": "none", "valid": False}, "existing_repair_failed"),
+        ({"published": "2023-12-01 00:00:00", "stored_quality": "full"}, "too_old"), ({"published": None}, "inserted_publishable"), ({"discovery": "KAKAO"}, "disallowed_url"),
+        ({"title": "주요 뉴스", "discovery": "KAKAO"}, "invalid_metadata"), ({"title": None}, "invalid_metadata"), ({"used": 41, "title": ""}, "subrequest_budget"), ({"used": 40}, "inserted_publishable"),
+    ]
+    kinds = "used int, url string, title string, discovery string, published string, stored_quality string, has_capacity boolean, may_retry boolean, valid boolean, bucket string, is_popular boolean, press string, body_length int, is_duplicate boolean, wanted string"
+    rows = spark.createDataFrame([tuple((base | c).values()) + (w,) for c, w in cases], kinds).withColumn("published", F.col("published").cast("timestamp"))
+    out = candidates.labelled(rows, upkeep.outcome_rules("2024-01-31 00:00:00"), upkeep.OTHERWISE).collect()
+    assert [r.outcome for r in out] == [w for _, w in cases]
+
+
+def test_ledger_and_limits(spark):
+    from newsloom.operators import upkeep
+
+    state = spark.createDataFrame([("d1_rows_read:2024-01-17", 1), ("d1_rows_read:2024-01-18", 2), ("a", 3)], "key string, value long")
+    assert {r.key for r in upkeep.ledger_kept(state, "2024-01-25").collect()} == {"d1_rows_read:2024-01-18", "a"}
+    days = spark.createDataFrame([("2026-08-14",), ("2026-08-15",), (None,)], "d string")
+    assert [r[0] for r in days.select(upkeep.limit_of(F.col("d"), {"2026-08-14": 165}, 60)).collect()] == [165, 60, 60]
+
+
+def test_sentences_are_lazy_and_whole():
+    from newsloom.functions.gates import candidates, sentences
+
+    text = "First line here. Second one!\nThird\n\nFourth"
+    assert candidates(text) == ["First line here.", "Second one!", "Third", "Fourth"] and next(sentences(text)) == "First line here."
+    assert candidates(None) == candidates("") == []
