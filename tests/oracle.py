@@ -19,7 +19,7 @@ def connection(folder):
 
 def rows(frame):
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         return f"{v:.9g}" if isinstance(v, float) else str(v.tolist() if hasattr(v, "tolist") and not isinstance(v, (str, bytes)) else v)
 
