@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("langid", "secrets", "substrings", "vectors", "pii", "lines", "mixing", "decontaminate", "scoring", "jaccard")
+_MODULES = ("langid", "secrets", "substrings", "vectors", "pii", "lines", "mixing", "decontaminate", "scoring", "jaccard", "layout", "slices", "resample")
 
 
 def queries() -> dict:
