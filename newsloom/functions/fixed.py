@@ -189,6 +189,9 @@ LINE_LENGTH = (24, 190)  # of a summary line
 BODY_LENGTH, TITLE_LENGTH, PRESS_LENGTH = 16_000, 300, 40
 BODY_OK = 180  # characters from which a body counts as found
 SAME_STORY = 0.45
+#: The press at the end of a title, and the tag of a column at its start.
+TITLE_PRESS = r"\s+[-|–—]\s+[^-|–—]{1,30}$"
+SERIES_TAG = r"^\s*(?:\[[^\]]*\]|【[^】]*】|<[^>]*>)\s*"
 SUBREQUESTS, PER_CANDIDATE = 44, 4
 DAILY_CALLS, RESERVED_CALLS, BOOST_CALLS, RECOVERY_CALLS = 60, 36, 24, 90
 DAILY_SPEND, MONTHLY_TARGET, MONTHLY_SPEND = 300_000, 4_750_000, 5_000_000  # micro-USD

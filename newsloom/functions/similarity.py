@@ -52,7 +52,7 @@ def headline_match(a: str, b: str) -> bool:
 
 
 def without_series(title: str) -> str:
-    return re.sub(r"^\s*(?:\[[^\]]*\]|【[^】]*】|<[^>]*>)\s*", "", title).strip()
+    return re.sub(fixed.SERIES_TAG, "", title).strip()
 
 
 class Story:

@@ -82,7 +82,7 @@ def strip_html(value: str | None) -> str:
 
 
 def clean_title(value: str | None) -> str:
-    s = re.sub(r"\s+[-|–—]\s+[^-|–—]{1,30}\Z", "", strip_html(value))
+    s = re.sub(fixed.TITLE_PRESS, "", strip_html(value))
     return re.sub(r"\s+", " ", s).strip()[: fixed.TITLE_LENGTH]
 
 
@@ -142,6 +142,11 @@ def any_of(c: Column, patterns, flags: str = "(?i)") -> Column:
     return out
 
 
+def clean_title_c(c: Column) -> Column:
+    """clean_title(): what follows a last dash or bar goes, white space is single."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, fixed.TITLE_PRESS, ""), r"\s+", " ")), 1, fixed.TITLE_LENGTH)
+
+
 def strip_numbering_c(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, fixed.NUMBERING, ""))
 

@@ -1,6 +1,6 @@
 """News tables made of the test tables, as DataFrames and as SQL that says the same.
 
-Articles are documents dated by evenly spaced events; saves, hides, likes, rankings, attempts and runs are events of one type
+Articles are documents dated by evenly spaced events, their title the first line and their summary the first paragraph; saves, hides, likes, rankings, attempts and runs are events of one type
 each; candidates are pages. NOW stands in for the present."""
 
 from __future__ import annotations
@@ -43,9 +43,9 @@ class Tables:
         i, at = F.col("doc_id"), lambda c, f="yyyy-MM-dd HH:mm:ss": F.date_format(c, f)
         return rows.select(
             i.alias("id"), self.key(i).alias("url_key"), F.concat(F.lit("https://n"), i % 7, F.lit(".example.com/article/"), F.lpad((i % 500).cast("string"), 3, "0"), F.lit("/"), i).alias("url"),
-            F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("source"), F.when(i % 3 == 0, "").otherwise(F.col("source")).alias("press"), F.col("lang").alias("category"),
+            F.substring_index("text", "\n", 1).alias("title"), F.col("source"), F.when(i % 3 == 0, "").otherwise(F.col("source")).alias("press"), F.col("lang").alias("category"),
             F.when(i % 33 == 0, "").when(i % 50 == 0, at("ts", "yyyy-MM-dd")).otherwise(at("ts")).alias("published_at"), at(F.col("ts") + F.expr("interval 1 hour")).alias("fetched_at"),
-            F.substring("text", 1, 150).alias("raw_summary"), F.col("text").alias("body_text"), F.substring("text", 1, 200).alias("summary"),
+            F.substring_index("text", "\n\n", 1).alias("raw_summary"), F.col("text").alias("body_text"), F.substring_index("text", "\n\n", 1).alias("summary"),
             F.when(i % 20 == 0, "none").when(i % 20 == 1, "duplicate").otherwise("full").alias("summary_quality"), F.when(i % 4 == 0, "").otherwise("https://img.example.com/x.jpg").alias("image_url"),
         )
 
@@ -113,9 +113,9 @@ n AS (SELECT greatest(1, (SELECT count(*) FROM documents)) AS nd, greatest(1, (S
 ev AS (SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, props FROM events),
 articles AS (SELECT doc_id AS id, sha256(CAST(doc_id AS VARCHAR)) AS url_key,
     'https://n' || (doc_id % 7) || '.example.com/article/' || lpad(CAST(doc_id % 500 AS VARCHAR), 3, '0') || '/' || doc_id AS url,
-    left(split_part(text, chr(10), 1), 120) AS title, source, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS press, lang AS category,
+    split_part(text, chr(10), 1) AS title, source, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS press, lang AS category,
     CASE WHEN doc_id % 33 = 0 THEN '' WHEN doc_id % 50 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS published_at,
-    strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS fetched_at, left(text, 150) AS raw_summary, text AS body_text, left(text, 200) AS summary,
+    strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS fetched_at, split_part(text, chr(10) || chr(10), 1) AS raw_summary, text AS body_text, split_part(text, chr(10) || chr(10), 1) AS summary,
     CASE WHEN doc_id % 20 = 0 THEN 'none' WHEN doc_id % 20 = 1 THEN 'duplicate' ELSE 'full' END AS summary_quality,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'https://img.example.com/x.jpg' END AS image_url
     FROM documents JOIN ev ON event_id = doc_id * (SELECT ne // nd FROM n)),

@@ -14,6 +14,7 @@ from ..functions.similarity import near_duplicate_c
 from ..functions.times import effective_time, korea_day, parse_date_c
 from ..operators import issues, repairs, stories
 from ..operators.feed import FeedParams, feed
+from ..operators.storywindow import story_window
 from ..sources.landed import popularity, ranking
 from .standin import NOW, USER, Tables, sql
 
@@ -209,9 +210,55 @@ def _(t):
 # --- stories --------------------------------------------------------------------------------------------
 
 
-@query("story_index")
+def _clean_sql(x: str) -> str:
+    return f"left(trim(regexp_replace(regexp_replace({x}, '{fixed.TITLE_PRESS}', ''), '\\s+', ' ', 'g')), {fixed.TITLE_LENGTH})"
+
+
+def _fold_sql(rows: str) -> str:
+    """The fold, title after title of each day at once; rows: (id, day, since, judged, category, title, feeds)."""
+    key = "regexp_replace(lower({}), '[^0-9a-z가-힣]', '', 'g')".format
+    grams = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))".format
+    near = lambda x, g: f"(a.{x} <> '' AND b.{x} <> '' AND (a.{x} = b.{x} OR 2 * len(list_intersect(a.{g}, b.{g})) / (len(a.{g}) + len(b.{g})) >= {fixed.SAME_STORY}))"
+    return f""", given AS ({rows}),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY judged, since, id) AS k, {_clean_sql("coalesce(title, '')")} AS once FROM given),
+    twice AS (SELECT *, {_clean_sql("once")} AS two FROM placed),
+    keyed AS (SELECT *, {key(_clean_sql("two"))} AS whole, {key(_clean_sql(f"trim(regexp_replace(two, '{fixed.SERIES_TAG}', ''))"))} AS tail, regexp_extract_all(two, '[0-9]{{3,}}') AS serials,
+        list_filter(list_distinct(regexp_extract_all(once, '[0-9A-Za-z가-힣]{{2,}}')), lambda w: NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOP})) AS words FROM twice),
+    prints AS (SELECT *, {grams("whole")} AS wg, {grams("tail")} AS tg FROM keyed),
+    matched AS (SELECT a.id, b.k, {near("whole", "wg")} AND {near("tail", "tg")} AND NOT (len(a.serials) > 0 AND len(b.serials) > 0 AND NOT list_has_any(a.serials, b.serials)) AS story,
+        a.category <> '바둑' AND len(list_intersect(a.words, b.words)) >= 3 AS words FROM prints a JOIN prints b ON a.day = b.day AND b.k < a.k AND b.feeds),
+    ahead AS (SELECT id, list(k) FILTER (story) AS stories, list(k) FILTER (words) AS shared FROM matched GROUP BY id),
+    turns AS (SELECT p.id, p.day, p.k, p.judged, p.feeds, coalesce(stories, []) AS stories, coalesce(shared, []) AS shared FROM prints p LEFT JOIN ahead USING (id)),
+    folded AS (WITH RECURSIVE fold AS (
+        SELECT DISTINCT day, 0::BIGINT AS k, []::BIGINT[] AS inside, NULL::BIGINT AS found, NULL::VARCHAR AS how FROM turns
+        UNION ALL SELECT day, k, CASE WHEN judged = 0 OR (feeds AND s IS NULL AND w IS NULL) THEN list_append(inside, k) ELSE inside END, coalesce(s, w), CASE WHEN s IS NOT NULL THEN 'story' WHEN w IS NOT NULL THEN 'words' END
+            FROM (SELECT t.*, f.inside, list_min(list_intersect(t.stories, f.inside)) AS s, list_min(list_intersect(t.shared, f.inside)) AS w FROM fold f JOIN turns t ON t.day = f.day AND t.k = f.k + 1))
+        SELECT * FROM fold)
+    SELECT p.id, p.day, o.id AS duplicate_of, f.how AS "by", f.found IS NULL AND p.feeds AS joined FROM placed p JOIN folded f ON p.day = f.day AND p.k = f.k LEFT JOIN placed o ON o.day = f.day AND o.k = f.found WHERE p.judged = 1"""
+
+
+_FEEDS = "summary_quality = 'full' AND trim(coalesce(summary, '')) <> '' AND trim(coalesce(title, '')) <> ''"
+_SINCE = "when_ts < TIMESTAMP '{0}' - INTERVAL 3 DAY AND summary_quality = 'full'".format(NOW)
+_GIVEN = "SELECT id, strftime(when_ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, when_ts AS since, {judged} AS judged, category, title, " + _FEEDS + " AS feeds FROM timed"
+
+
+def _titled(t: Tables) -> DataFrame:
+    return t.articles().select("id", "title", "category", effective_time(F.col("published_at"), F.col("fetched_at")).alias("at"), "summary", "summary_quality")
+
+
+@query("story_index", _fold_sql(_GIVEN.format(judged="1")))
+def _(t):
+    """Every article as if it came in one run, with nothing published before."""
+    rows = _titled(t)
+    return story_window(rows.filter("false"), rows, NOW)
+
+
+@query("story_window", _fold_sql(_GIVEN.format(judged=f"CASE WHEN {_SINCE} THEN 0 ELSE 1 END") + f" WHERE NOT ({_SINCE}) OR (when_ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND {_FEEDS})"))
 def _(t):
-    return stories.story_index(_dated(t))
+    """What was published three days ago and before, against what has come since and what has no summary yet."""
+    rows = _titled(t)
+    stored = (F.col("at") < F.to_timestamp(F.lit(NOW)) - F.expr("interval 3 days")) & (F.col("summary_quality") == "full")
+    return story_window(rows.filter(stored), rows.filter(~stored), NOW)
 
 
 def _recent(t: Tables) -> DataFrame:
