@@ -15,7 +15,9 @@ from ..functions.times import effective_time, korea_day, parse_date_c
 from ..operators import issues, repairs, stories
 from ..operators.feed import FeedParams, feed
 from ..operators.storywindow import story_window
-from ..sources.landed import popularity, ranking
+from ..lineage import new_folder
+from ..sources import search
+from ..sources.landed import popularity, ranking, rotation
 from .standin import NOW, USER, Tables, sql
 
 QUERIES: dict = {}
@@ -188,6 +190,43 @@ def _(t):
     return popularity(rows, slot=2).select("section", "rank", "href", "ordinal")
 
 
+# --- search -------------------------------------------------------------------------------------------
+
+_SLOTS, _EACH, _SIZE = 4, 8, 100
+_ASKED = [[q for q in rotation(s, _EACH)] for s in range(_SLOTS)]
+_ASKED_SQL = "[" + ", ".join(f"'{q}'" for one in _ASKED for q in one) + "]"
+
+
+def landed_search(t: Tables, service: str = "naver") -> DataFrame:
+    """Articles as answers of the search: _SIZE a page, pages dealt to the slots and queries in turn; landed, then read as a source."""
+    size = search.page_size(service, _SIZE)
+    turn, asked = F.expr(f"id div {size}"), F.array(*[F.lit(q) for one in _ASKED for q in one])
+    rows = t.articles().select((turn % _SLOTS).cast("int").alias("slot"), F.element_at(asked, ((turn % _SLOTS) * _EACH + F.expr(f"id div {size} div {_SLOTS}") % _EACH + 1).cast("int")).alias("query"),
+        (F.expr(f"id div {size * _SLOTS * _EACH}") + 1).cast("int").alias("page"), (F.col("id") % size).cast("int").alias("place"), "title", F.col("url").alias("link"), F.col("summary").alias("description"), F.col("published_at").alias("pub_date"))
+    path, pages = new_folder(t.spark, "search"), -(-t.counts[0] // (size * _SLOTS * _EACH))
+    at = F.col("id") % (_SLOTS * _EACH)
+    all_asked = t.spark.range(_SLOTS * _EACH * pages).select(F.expr(f"cast(id % {_SLOTS * _EACH} div {_EACH} as int)").alias("slot"), F.element_at(asked, (at + 1).cast("int")).alias("query"), F.expr(f"cast(id div {_SLOTS * _EACH} + 1 as int)").alias("page"))
+    search.land(rows, path, service, size, all_asked)
+    search.register(t.spark)
+    return t.spark.read.format(search.FORMAT).options(path=path, service=service, key="landed", size=size, pages=pages, each=_EACH).load()
+
+
+_SEARCH_SQL = f""" SELECT CAST(id // {{0}} % {_SLOTS} AS INTEGER) AS slot, {_ASKED_SQL}[id // {{0}} % {_SLOTS} * {_EACH} + id // {{0}} // {_SLOTS} % {_EACH} + 1] AS query, CAST(id // {{0}} // {_SLOTS * _EACH} + 1 AS INTEGER) AS page,
+    CAST(row_number() OVER (PARTITION BY id // {{0}} ORDER BY id) - 1 AS INTEGER) AS ordinal, url AS link, published_at AS pub_date, '{{1}}' AS source FROM articles"""
+
+
+@query("search_candidates", _SEARCH_SQL.format(_SIZE, "NAVER"))
+def _(t):
+    return landed_search(t).select("slot", "query", "page", "ordinal", "link", "pub_date", "source")
+
+
+@query("search_candidates_web", _SEARCH_SQL.format(50, "KAKAO") + f" WHERE id // 50 // {_SLOTS} % {_EACH} < 2 AND id // 50 // {_SLOTS * _EACH} = 0")
+def _(t):
+    """The first page of two queries of each slot; the filters leave all other pages unread."""
+    found = landed_search(t, "kakao").filter(F.col("query").isin([q for one in _ASKED for q in one[:2]]) & (F.col("page") == 1))
+    return found.select("slot", "query", "page", "ordinal", "link", "pub_date", "source")
+
+
 # --- summaries ------------------------------------------------------------------------------------------
 
 
