@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import relational, textual, upkeep
+from . import flows, relational, textual, upkeep
 
 
 def queries() -> dict:
-    return relational.QUERIES | textual.QUERIES | upkeep.QUERIES
+    return relational.QUERIES | textual.QUERIES | upkeep.QUERIES | flows.QUERIES
 
 
 def oracle_sql() -> dict:
-    return relational.ORACLE | textual.ORACLE | upkeep.ORACLE
+    return relational.ORACLE | textual.ORACLE | upkeep.ORACLE | flows.ORACLE

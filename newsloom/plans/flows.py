@@ -1,0 +1,84 @@
+"""Queries over what runs do in turn: which model calls are made, and what comes of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.times import effective_time, korea_day
+from ..operators import calls
+from .standin import Tables, sql
+
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if oracle is not None:
+            ORACLE[name] = sql(oracle)
+        return f
+
+    return keep
+
+
+# --- budgets --------------------------------------------------------------------------------------------
+
+#: Budgets of a size at which the events of an account meet each of them.
+_BUDGET = {"general": 2, "total": 5, "cost": 15_000, "daily": 60_000, "monthly": 600_000}
+
+
+@query(
+    "calls_admitted",
+    # one call after the other, all accounts at once
+    f""", c AS (SELECT event_id AS ordinal, user_id % 50 AS account, event_type = 'click' AS go, ts + INTERVAL 9 HOUR AS korea, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS k FROM ev),
+    folded AS (WITH RECURSIVE fold AS (SELECT DISTINCT account, 0::BIGINT AS k, 0::BIGINT AS ordinal, NULL::DATE AS day, 0 AS called, 0 AS spent, 0 AS month, ''::VARCHAR AS reason FROM c
+        UNION ALL SELECT account, k, ordinal, day, called + CASE WHEN calls THEN 1 ELSE 0 END, spent + CASE WHEN calls AND why = '' THEN {_BUDGET["cost"]} ELSE 0 END, month + CASE WHEN calls AND why = '' THEN {_BUDGET["cost"]} ELSE 0 END, CASE WHEN calls THEN why ELSE 'calls' END
+            FROM (SELECT *, called < {_BUDGET["general"]} OR (called < {_BUDGET["total"]} AND (go OR hour(korea) >= 21)) AS calls, CASE WHEN month + {_BUDGET["cost"]} > {_BUDGET["monthly"]} THEN 'monthly' WHEN spent + {_BUDGET["cost"]} > {_BUDGET["daily"]} THEN 'daily' ELSE '' END AS why
+                FROM (SELECT c.*, CAST(c.korea AS DATE) AS day, CASE WHEN f.day = CAST(c.korea AS DATE) THEN f.called ELSE 0 END AS called, CASE WHEN f.day = CAST(c.korea AS DATE) THEN f.spent ELSE 0 END AS spent, CASE WHEN date_trunc('month', f.day) = date_trunc('month', CAST(c.korea AS DATE)) THEN f.month ELSE 0 END AS month
+                    FROM fold f JOIN c ON c.account = f.account AND c.k = f.k + 1)))
+        SELECT * FROM fold WHERE k > 0)
+    SELECT account, ordinal, reason FROM folded""",
+)
+def _(t):
+    e = t.events().select((F.col("user_id") % 50).alias("account"), F.col("event_id").alias("ordinal"), F.col("ts").alias("at"), F.when(F.col("event_type") == "click", "baduk").otherwise("general").alias("bucket"))
+    return calls.admitted(e, ("account",), **_BUDGET).select("account", "ordinal", "reason")
+
+
+# --- calls ----------------------------------------------------------------------------------------------
+
+
+def _asked(t: Tables) -> DataFrame:
+    """Articles, clean titles, with the run that collects them: a quarter of a day."""
+    at = effective_time(F.col("published_at"), F.col("fetched_at"))
+    rows = t.articles().select("id", "url_key", X.clean_title_c(F.col("title")).alias("title"), "summary_quality", at.alias("at")).withColumn("day", korea_day(F.col("at")))
+    return rows.withColumn("run", F.concat(F.date_format("at", "yyyy-MM-dd "), F.floor(F.hour("at") / 6)))
+
+
+def judged_runs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates of runs that may call, known stories, questions): articles without a summary against those that have one."""
+    rows = _asked(t)
+    new = rows.filter(F.col("summary_quality") != "full")
+    runs = new.groupBy("run").agg(F.min("at").alias("at")).select("run", "at", F.unix_timestamp("at").alias("ordinal"), F.lit("general").alias("bucket"))
+    may = calls.admitted(runs, general=3, total=3).filter("reason = ''").select("run")
+    new, known = new.join(may, "run", "left_semi"), rows.filter(F.col("summary_quality") == "full")
+    return new, known, calls.duplicate_questions(new, known)
+
+
+@query("duplicates_judged")
+def _(t):
+    return calls.model_call(judged_runs(t)[2], "duplicates").select("run", "id", "same_id")
+
+
+def standalone_titles(t: Tables, most: int = 12) -> DataFrame:
+    """Rows for model_call: of each day the articles with the best popularity."""
+    rows = _asked(t).join(t.popularity().select("url_key", "rank", "score"), "url_key")
+    place = F.row_number().over(Window.partitionBy("day").orderBy("rank", F.desc("score"), "id")).cast("long")
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select(F.col("day").alias("run"), F.lit("new").alias("kind"), "place", "id", "title")
+
+
+@query("titles_rewritten")
+def _(t):
+    return calls.model_call(standalone_titles(t), "titles").select("run", "id", "title")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import textwrap
 from typing import Protocol
 
 from .functions.gates import build_summary, publishable
-from .functions.similarity import Story, same_issue
-from .functions.text import normalize
-from .operators.stories import StoryIndex
+from .functions.similarity import Story, dice, same_issue, without_series
+from .functions.text import clean_title, normalize
 
 
 class Provider(Protocol):
@@ -16,7 +16,9 @@ class Provider(Protocol):
 
     def group(self, articles: list[dict], cache: list[dict]) -> str: ...
 
-    def duplicates(self, titles: list[str], known: list[str]) -> dict[int, str]: ...
+    def judge(self, titles: list[str], known: list[str]) -> str: ...
+
+    def retitle(self, titles: list[str]) -> str: ...
 
 
 class Rules:
@@ -40,9 +42,17 @@ class Rules:
             g["title"] = known or g["title"]
         return json.dumps([{"title": g["title"], "indices": g["indices"], "main": g["indices"][0]} for g in groups if g["title"]], ensure_ascii=False)
 
-    def duplicates(self, titles: list[str], known: list[str]) -> dict[int, str]:
-        index = StoryIndex(known[-40:])
-        return {i: found for i, t in enumerate(titles) if (found := index.match(t))}
+    def judge(self, titles: list[str], known: list[str]) -> str:
+        """New titles that tell a known story, or share two words and a third of the bigrams with it: [{"new": 0, "same": 3}]."""
+        stories = [Story(t) for t in known]
+        near = lambda a, b: a.same(b) or (a.shares_words(b, 2) and dice(a.grams, b.grams) >= 1 / 3)
+        found = ((i, next((k for k, s in enumerate(stories) if near(s, Story(t))), None)) for i, t in enumerate(titles))
+        return json.dumps([{"new": i, "same": k} for i, k in found if k is not None])
+
+    def retitle(self, titles: list[str]) -> str:
+        """Titles without the tag of a column, up to the last word that fits: [{"index": 0, "title": "..."}]."""
+        short = (textwrap.shorten(clean_title(without_series(clean_title(t))), 40, placeholder="") for t in titles)
+        return json.dumps([{"index": i, "title": t} for i, t in enumerate(short) if t], ensure_ascii=False)
 
 
 def numbers(text: str) -> set[str]:
