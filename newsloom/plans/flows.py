@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.times import effective_time, korea_day
+from ..lineage import new_folder
 from ..operators import calls
+from ..streaming import stateful
 from .standin import Tables, sql
 
 QUERIES: dict = {}
@@ -82,3 +84,44 @@ def standalone_titles(t: Tables, most: int = 12) -> DataFrame:
 @query("titles_rewritten")
 def _(t):
     return calls.model_call(standalone_titles(t), "titles").select("run", "id", "title")
+
+
+# --- streams --------------------------------------------------------------------------------------------
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    """A table as it lands: all its files at once, so that order within them is the order of time."""
+    schema = t.read(name).schema
+    rows = t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}.parque[t]")  # as a pattern, for a table may be one file
+    return rows.withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+
+
+def _to_end(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(t.spark, name)
+    return stateful.run_to_files(stream, f"{folder}/rows", f"{folder}/checkpoint")
+
+
+@query("publish_cap_stream", " SELECT id, bucket, kst_day, CAST(place AS INTEGER) AS place FROM (SELECT event_id AS id, event_type AS bucket, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS kst_day, row_number() OVER (PARTITION BY event_type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') ORDER BY ts, event_id) AS place FROM ev) WHERE place <= 12")
+def _(t):
+    rows = _stream(t, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("bucket"), "ts")
+    return _to_end(t, stateful.publish_cap(rows), "publish-cap")
+
+
+@query(
+    "retry_gate_stream",
+    f""", r AS (SELECT event_id AS id, 'u' || user_id AS url_key, ts, event_type = 'signup' AS published, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev),
+    folded AS (WITH RECURSIVE fold AS (SELECT DISTINCT url_key, 0::BIGINT AS k, 0::BIGINT AS id, NULL::TIMESTAMP AS last, 0 AS tries, ''::VARCHAR AS what FROM r
+        UNION ALL SELECT url_key, k, id, CASE what WHEN 'tried' THEN ts WHEN 'published' THEN NULL ELSE last END, CASE what WHEN 'tried' THEN tries + 1 WHEN 'published' THEN 0 ELSE tries END, what
+            FROM (SELECT r.*, f.last, f.tries, CASE WHEN published THEN 'published' WHEN tries >= {stateful.TRIES} THEN 'spent' WHEN r.ts < f.last + INTERVAL {stateful.HOURS} HOUR THEN 'held' ELSE 'tried' END AS what FROM fold f JOIN r ON r.url_key = f.url_key AND r.k = f.k + 1))
+        SELECT * FROM fold WHERE k > 0)
+    SELECT url_key, id, what, tries FROM folded""",
+)
+def _(t):
+    rows = _stream(t, "events").select(F.concat(F.lit("u"), "user_id").alias("url_key"), F.col("event_id").alias("id"), "ts", (F.col("event_type") == "signup").alias("published"))
+    return _to_end(t, stateful.retry_gate(rows), "retry-gate").filter("id is not null").select("url_key", "id", "what", "tries")
+
+
+@query("cursor_slots_stream", " SELECT event_type AS cursor, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS slot FROM ev")
+def _(t):
+    rows = _stream(t, "events").select(F.col("event_type").alias("cursor"), F.col("event_id").alias("id"), "ts")
+    return _to_end(t, stateful.cursors(rows), "cursors").select("cursor", "id", "slot")
