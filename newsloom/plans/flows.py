@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as X
 from ..functions.times import effective_time, korea_day
 from ..lineage import new_folder
-from ..operators import calls
+from ..operators import calls, diagnostics, merge, reports
+from ..sources.store import Store
 from ..streaming import stateful
-from .standin import Tables, sql
+from . import relational, textual
+from .standin import NOW, Tables, sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -125,3 +128,122 @@ def _(t):
 def _(t):
     rows = _stream(t, "events").select(F.col("event_type").alias("cursor"), F.col("event_id").alias("id"), "ts")
     return _to_end(t, stateful.cursors(rows), "cursors").select("cursor", "id", "slot")
+
+
+# --- stores ---------------------------------------------------------------------------------------------
+
+
+@query("article_store", relational.ARTICLE_UPSERT)
+def _(t):
+    """Upserts into a store: what is there, then what comes, which then comes again."""
+    old, new = relational.changed_articles(t)
+    store = Store(t.spark, new_folder(t.spark, "articles"), old.schema, ["url_key"], parts=16)
+    for n, batch in ((0, old), (1, new), (1, new)):
+        store.apply(batch, n, merge.upsert_articles)
+    return store.read().select("id", "title", "summary_quality", F.length("body_text").alias("body_length"), F.length("summary").alias("summary_length"))
+
+
+@query("popularity_store", f" SELECT url_key, score, rank, source, collected_at FROM popularity WHERE CAST(collected_at AS TIMESTAMP) >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+def _(t):
+    """The log in three batches, of which the second comes twice, then what is older than ten days goes."""
+    log = t.popularity_log()
+    third = -(-t.counts[1] // 3)
+    store = Store(t.spark, new_folder(t.spark, "popularity"), log.schema, ["url_key"], parts=16)
+    for n in (0, 1, 1, 2):
+        batch = log.filter((F.col("arrival") >= n * third) & (F.col("arrival") < (n + 1) * third))
+        store.apply(batch, n, lambda old, new: merge.popularity_live(old.unionByName(new)))
+    store.expire(F.to_timestamp("collected_at") < F.to_timestamp(F.lit(NOW)) - F.expr("interval 10 days"), 3)
+    return store.read().select("url_key", "score", "rank", "source", "collected_at")
+
+
+# --- diagnostics ----------------------------------------------------------------------------------------
+
+#: A run's message, in words that both engines know: of drifting shape, some without diagnostics, some that can't be read.
+_MESSAGE = """CASE WHEN event_id % 17 = 0 THEN 'diagnostics {' WHEN event_id % 13 = 0 THEN '{"warnings":["diagnostics"]}' WHEN event_id % 11 = 0 THEN '["diagnostics"]' ELSE
+    '{"diagnostics":{"mode":"' || CASE WHEN user_id % 3 = 0 THEN 'scheduled' ELSE 'backfill' END || '","summary_rejected_by_rule":{"short":' || CAST(event_id % 5 AS STRING) || ',"promo":"' || CAST(event_id % 3 AS STRING) || '"},'
+    || CASE WHEN event_id % 2 = 0 THEN '"subrequests_used":' || CAST(event_id % 44 AS STRING) || ',' ELSE '' END
+    || '"body_too_short_hosts":{"baduk:a.kr|http_403":' || CAST(event_id % 4 AS STRING) || CASE WHEN event_id % 5 = 0 THEN ',"general:b.kr|error_Too many Subrequests":1' ELSE '' END || '},'
+    || CASE WHEN event_id % 3 = 0 THEN '"anthropic_exhausted_reason":"' || CASE WHEN user_id % 2 = 0 THEN 'daily_total' ELSE 'bucket_general' END || '","anthropic_calls_by_bucket":{"baduk":' || CAST(event_id % 60 AS STRING) || '},' ELSE '' END
+    || '"processed_by_category":{"baduk":' || CAST(user_id % 4 AS STRING) || ',"general":{"x":{"y":' || CAST(event_id % 7 AS STRING) || '}}},"candidate_outcomes_by_category":{"general":{}'
+    || CASE WHEN event_id % 4 <> 0 THEN ',"baduk":{"body_too_short":' || CAST(event_id % 3 AS STRING) || ',"inserted_publishable":' || CAST(user_id % 2 AS STRING) || ',"existing_repaired":null}' ELSE '' END || '}}}' END"""
+_RUN_STATUS = "CASE WHEN user_id % 5 = 0 THEN 'error' WHEN user_id % 5 = 1 THEN 'running' WHEN user_id % 5 = 2 THEN 'degraded' ELSE 'ok' END"
+_RUNS_SQL = f""", told AS (SELECT event_id AS id, ts AS started_at, {_RUN_STATUS} AS status, CASE WHEN user_id % 5 <> 1 THEN ts + INTERVAL 5 MINUTE END AS finished_at, {_MESSAGE} AS message FROM ev WHERE event_type = 'error'),
+    read AS (SELECT *, TRY_CAST(message AS JSON) AS j FROM told)"""
+
+
+def diagnosed_runs(t: Tables) -> DataFrame:
+    e = t.events("error")
+    finished = F.when(F.col("user_id") % 5 != 1, F.col("ts") + F.expr("interval 5 minutes"))
+    return e.select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), F.expr(_RUN_STATUS).alias("status"), finished.alias("finished_at"), F.expr(_MESSAGE).alias("message"))
+
+
+@query(
+    "run_leaves",
+    _RUNS_SQL + """ SELECT replace(t.fullkey, '"', '') AS path, count(DISTINCT r.id) AS runs, round(sum(CAST(t.atom AS DOUBLE)), 4) AS total FROM (SELECT * FROM read WHERE json_type(j) = 'OBJECT') r, json_tree(r.j) t
+    WHERE t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND NOT contains(t.fullkey, '[') GROUP BY 1""",
+)
+def _(t):
+    return diagnostics.leaves(diagnosed_runs(t))
+
+
+@query("summary_rejections", _RUNS_SQL + " SELECT rule, CAST(sum(coalesce(TRY_CAST(j->'$.diagnostics.summary_rejected_by_rule'->>rule AS DOUBLE), 0)) AS BIGINT) AS n FROM (SELECT j, unnest(json_keys(j, '$.diagnostics.summary_rejected_by_rule')) AS rule FROM read WHERE json_type(j) = 'OBJECT') GROUP BY 1")
+def _(t):
+    return diagnostics.rejections(diagnosed_runs(t))
+
+
+_HEALTH_AT = "2024-01-28 00:00:00"
+
+
+def _figure_sql(path: str) -> str:
+    return f"coalesce(TRY_CAST(j->>'$.diagnostics.{path}' AS DOUBLE), 0)"
+
+
+_BADUK_SQL = _figure_sql("candidate_outcomes_by_category.baduk.{0}").format
+_FIGURES_SQL = (
+    _RUNS_SQL
+    + f""", go AS (SELECT * REPLACE (CASE WHEN category = 'fr' THEN '바둑' ELSE category END AS category) FROM timed),
+    late AS (SELECT * FROM (SELECT * FROM read WHERE started_at >= TIMESTAMP '{_HEALTH_AT}' - INTERVAL 24 HOUR AND contains(message, 'diagnostics') ORDER BY id DESC LIMIT 30) WHERE (j->'$.diagnostics') IS NOT NULL),
+    sums AS (SELECT count(*) FILTER (WHERE (j->>'$.diagnostics.anthropic_exhausted_reason') IN ('bucket_baduk', 'daily_total') AND {_figure_sql("processed_by_category.baduk")} > 0 AND {_figure_sql("anthropic_calls_by_bucket.baduk")} < {fixed.RESERVED_CALLS}) AS quota_blocked,
+        coalesce(sum({_figure_sql("processed_by_category.baduk")}), 0) AS baduk_seen, coalesce(sum({_BADUK_SQL("body_too_short")}), 0) AS baduk_short, coalesce(sum({_BADUK_SQL("inserted_publishable")} + {_BADUK_SQL("existing_repaired")}), 0) AS baduk_published FROM late),
+    over AS (SELECT count(*) AS budget_exceeded FROM (SELECT unnest(json_keys(j, '$.diagnostics.body_too_short_hosts')) AS k FROM late WHERE (j->'$.diagnostics.subrequests_used') IS NOT NULL) WHERE k ILIKE '%too many subrequests%'),
+    turned AS (SELECT coalesce(sum(coalesce(TRY_CAST(j->'$.diagnostics.summary_rejected_by_rule'->>rule AS DOUBLE), 0)), 0) AS rejected FROM (SELECT j, unnest(json_keys(j, '$.diagnostics.summary_rejected_by_rule')) AS rule FROM late)),
+    age AS (SELECT *, (epoch(TIMESTAMP '{_HEALTH_AT}') - epoch(started_at)) / 3600 AS started, (epoch(TIMESTAMP '{_HEALTH_AT}') - epoch(finished_at)) / 3600 AS finished FROM read),
+    last AS (SELECT status, started, finished FROM age ORDER BY id DESC LIMIT 1),
+    automatic AS (SELECT arg_max(finished, id) FILTER (WHERE finished IS NOT NULL) AS hours FROM age WHERE (j->>'$.diagnostics.mode') = 'scheduled'),
+    fresh AS (SELECT * FROM go WHERE summary_quality = 'full' AND when_ts >= TIMESTAMP '{_HEALTH_AT}' - INTERVAL 24 HOUR),
+    paid AS (SELECT id, strftime(when_ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, list_filter(list_distinct(regexp_extract_all(title, '[0-9A-Za-z가-힣]{{2,}}')), lambda w: NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({textual._STOP})) AS w FROM fresh WHERE category <> '바둑' ORDER BY id DESC LIMIT 60),
+    pairs AS (SELECT count(*) AS n FROM paid a JOIN paid b ON a.day = b.day AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 3),
+    stored AS (SELECT count(*) AS n FROM fresh WHERE category = '바둑'),
+    good AS (SELECT count(*) AS n FROM (SELECT id FROM fresh WHERE category = '바둑' AND {relational._QUALITY} LIMIT 60)),
+    state AS (SELECT (SELECT strftime(max(ts), '%Y-%m-%d') FROM ev WHERE event_type = 'view') AS source_day, (SELECT count(*) FROM ev) AS reads, (SELECT count(*) * 50000 FROM documents) AS bytes, (SELECT CAST(sum(floor(value)) AS BIGINT) FROM ev WHERE event_type = 'purchase') AS spent),
+    counts AS (SELECT count(*) FILTER (WHERE when_ts >= TIMESTAMP '{_HEALTH_AT}' - INTERVAL 24 HOUR AND category <> '바둑') AS general, count(*) FILTER (WHERE published_at = '') AS missing,
+        count(*) FILTER (WHERE regexp_full_match(published_at, '.{{4}}-.{{2}}-.{{2}}') AND url_key NOT IN (SELECT url_key FROM checks)) AS date_only,
+        count(*) FILTER (WHERE TRY_CAST(nullif(published_at, '') AS TIMESTAMP) > TIMESTAMP '{_HEALTH_AT}' + INTERVAL 2 HOUR) AS ahead, count(*) FILTER (WHERE contains(url, 'sports.naver.com')) AS broken,
+        max(strftime(when_ts, '%Y-%m-%d')) FILTER (WHERE category = '바둑' AND summary_quality = 'full' AND contains(url, '{fixed.TIMELESS_HOST}')) AS stored_day FROM go),
+    spent AS (SELECT count(*) FILTER (WHERE summary_quality = 'none' AND coalesce(attempts, 0) >= 24) AS exhausted FROM articles LEFT JOIN attempts USING (url_key))
+    SELECT coalesce(last.status IN ('ok', 'degraded') OR (last.status = 'running' AND started <= 0.25), FALSE) AS last_run_ok, coalesce(CASE WHEN last.status = 'running' AND started <= 0.25 THEN started ELSE finished END <= 6, FALSE) AS last_run_within_6h,
+        coalesce(hours <= 4, FALSE) AS automatic_run_within_4h, general > 0 AS general_has_recent_news, coalesce(source_day IS NULL OR stored_day >= source_day, FALSE) AS baduk_source_collected, baduk_short < 6 OR baduk_published > 0 AS baduk_body_fetch_healthy,
+        baduk_seen = 0 AS baduk_reaches_screen, budget_exceeded = 0 AS subrequest_budget_respected, broken = 0 AS stored_urls_openable, pairs.n < 2 AS duplicate_paid_summaries_low, missing <= 3 AS published_time_healthy, date_only <= 5 AS published_time_has_clock,
+        ahead = 0 AS published_time_not_future, quota_blocked < 3 AS baduk_ai_quota_available, rejected < 10 OR baduk_published > 0 AS paid_summary_reaches_screen,
+        -- no stand-in is about Go in its words, so the screen takes all that the rules leave
+        good.n + CASE WHEN stored.n > 60 THEN 0 ELSE stored.n - good.n END < 2 AS baduk_display_not_over_filtered, TRUE AS cloudflare_not_provider_blocked, state.spent < 5000000 AS claude_under_hard_limit,
+        exhausted < 15 AS summary_exhausted_below_threshold, reads < 1000000 AS d1_reads_under_daily_limit, bytes / 524288000 * 100 < 70 AS database_storage_below_70_percent
+    FROM sums, over, turned, last, automatic, pairs, stored, good, state, counts, spent"""
+)
+
+
+def health(t: Tables) -> DataFrame:
+    """The 21 checks at _HEALTH_AT; French stands in for Go, and what the state holds is counted from the tables."""
+    articles = t.articles().withColumn("category", F.when(F.col("category") == "fr", "바둑").otherwise(F.col("category")))
+    e = t.events()
+    told = diagnostics.side_by_side(
+        e.agg(F.date_format(F.max(F.when(F.col("event_type") == "view", F.col("ts"))), "yyyy-MM-dd").alias("baduk_source_latest"), F.count("*").alias("d1_rows_read"), F.sum(F.when(F.col("event_type") == "purchase", F.floor("value"))).alias("claude_monthly_micro_usd")),
+        t.read("documents").agg((F.count("*") * 50000).alias("database_bytes")),
+    )
+    state = told.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in told.columns])).alias("s")).select("s.*")
+    return reports.health_checks(diagnostics.health_figures(articles, t.attempts(), t.checks(), diagnosed_runs(t), state, _HEALTH_AT))
+
+
+@query("health_checks", _FIGURES_SQL)
+def _(t):
+    return health(t).drop("failures")

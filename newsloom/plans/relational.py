@@ -14,6 +14,7 @@ from ..functions.gates import quality_conjuncts
 from ..functions.times import cost_micro_usd, daily_allowance, effective_time, is_date_only, korea, korea_day
 from ..operators import candidates as C
 from ..operators import control, issues, merge, repairs, reports
+from ..operators.diagnostics import side_by_side
 from ..operators.feed import FeedParams, feed, likers, ranked_only
 from .standin import NOW, USER, Tables, sql
 
@@ -117,12 +118,18 @@ def _(t):
     return _feed(t, limit=60)
 
 
-@query("feed_popular_exists", f"SELECT id, url_key FROM articles a WHERE {_RANKED}")
+_RANKED_IDS = """, keys AS MATERIALIZED (SELECT DISTINCT sha256(CAST(event_id % (SELECT nd FROM n) AS VARCHAR)) AS url_key FROM ev WHERE event_type = 'purchase'),
+    known AS MATERIALIZED (SELECT id, url_key, title FROM articles),
+    told AS MATERIALIZED (SELECT DISTINCT k.title FROM ev e JOIN known k ON k.id = e.event_id % (SELECT nd FROM n) WHERE e.event_type = 'signup' AND e.value > 50),
+    ranked AS MATERIALIZED (SELECT id FROM known SEMI JOIN keys USING (url_key) UNION SELECT id FROM known SEMI JOIN told USING (title))"""
+
+
+@query("feed_popular_exists", _RANKED_IDS + " SELECT id, url_key FROM known SEMI JOIN ranked USING (id)")
 def _(t):
     return ranked_only(t.articles(), t.popularity(), t.popular_items()).select("id", "url_key")
 
 
-@query("popular_disjunctive_flag", f"SELECT id, {_RANKED} AS is_popular FROM articles a")
+@query("popular_disjunctive_flag", _RANKED_IDS + " SELECT k.id, r.id IS NOT NULL AS is_popular FROM known k LEFT JOIN ranked r USING (id)")
 def _(t):
     ranked = ranked_only(t.articles(), t.popularity(), t.popular_items()).select("id", F.lit(True).alias("is_popular"))
     return t.articles().select("id").join(ranked, "id", "left").fillna(False, ["is_popular"])
@@ -296,20 +303,27 @@ _NEW = """, incoming AS (SELECT * REPLACE (title || '!' AS title, CASE WHEN id %
     UNION ALL SELECT * REPLACE (id + 1000000 AS id, sha256('new' || id) AS url_key) FROM articles WHERE id % 7 = 0)"""
 
 
-@query(
-    "article_upsert",
+ARTICLE_UPSERT = (
     _NEW
     + """ SELECT CASE WHEN o.url_key IS NULL THEN n.id ELSE o.id END AS id, coalesce(n.title, o.title) AS title, coalesce(n.summary_quality, o.summary_quality) AS summary_quality,
     length(CASE WHEN n.url_key IS NOT NULL AND (o.url_key IS NULL OR length(n.body_text) > length(o.body_text)) THEN n.body_text ELSE o.body_text END) AS body_length,
     length(CASE WHEN n.url_key IS NOT NULL AND (o.url_key IS NULL OR length(n.summary) > length(o.summary)) THEN n.summary ELSE o.summary END) AS summary_length
-    FROM articles o FULL JOIN incoming n ON o.url_key = n.url_key""",
+    FROM articles o FULL JOIN incoming n ON o.url_key = n.url_key"""
 )
-def _(t):
+
+
+def changed_articles(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(articles, those that come again changed or are new)."""
     a = t.articles()
     body = F.when(F.col("id") % 2 == 0, F.concat("body_text", F.lit(" more"))).otherwise("")
     changed = a.filter("id % 3 = 0").withColumns({"title": F.concat("title", F.lit("!")), "body_text": body, "summary": F.substring("summary", 1, 20), "summary_quality": F.lit("none")})
     new = a.filter("id % 7 = 0").withColumns({"url_key": F.sha2(F.concat(F.lit("new"), F.col("id")), 256), "id": F.col("id") + 1000000})
-    out = merge.upsert_articles(a, changed.unionByName(new))
+    return a, changed.unionByName(new)
+
+
+@query("article_upsert", ARTICLE_UPSERT)
+def _(t):
+    out = merge.upsert_articles(*changed_articles(t))
     return out.select("id", "title", "summary_quality", F.length("body_text").alias("body_length"), F.length("summary").alias("summary_length"))
 
 
@@ -435,34 +449,6 @@ def _(t):
     return reports.health_counts(t.articles(), t.checks(), NOW)
 
 
-def _side_by_side(*rows: DataFrame) -> DataFrame:
-    """One-row tables as one row."""
-    first, *rest = [r.withColumn("_one", F.lit(1)) for r in rows]
-    for r in rest:
-        first = first.join(r, "_one")
-    return first.drop("_one")
-
-
-def _figures(t: Tables) -> DataFrame:
-    counts = reports.health_counts(t.articles(), t.checks(), NOW)
-    age = lambda c: (F.unix_timestamp(F.to_timestamp(F.lit(NOW))) - F.unix_timestamp(F.max(c))) / 3600
-    runs = t.runs().agg(F.max_by("status", "id").alias("last_status"), age("started_at").alias("last_age_hours"))
-    done = reports.status_recovery(t.articles(), t.attempts()).select("exhausted")
-    known = {"automatic_age_hours": 1.0, "source_day": None, "stored_day": None, "baduk_short": 0, "baduk_published": 0, "baduk_seen": 0, "baduk_after_promo": 0, "budget_exceeded": 0, "duplicate_paid": 0, "quota_blocked": 0, "paid_rejected": 0, "paid_published": 0, "over_filtered": 0, "provider_blocked": False, "over_hard_limit": False, "rows_read": 0, "storage_percent": 10.0}
-    return _side_by_side(counts, runs, done).withColumns({k: F.lit(v).cast("string") if v is None else F.lit(v) for k, v in known.items()})
-
-
-@query(
-    "health_checks",
-    f""", r AS (SELECT arg_max(status, id) AS last_status, (epoch(TIMESTAMP '{NOW}') - epoch(max(started_at))) / 3600 AS age FROM runs),
-    c AS (SELECT count(*) FILTER (WHERE when_ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND category <> '바둑') AS general_24h, count(*) FILTER (WHERE published_at = '') AS missing,
-      count(*) FILTER (WHERE regexp_full_match(published_at, '.{{4}}-.{{2}}-.{{2}}') AND url_key NOT IN (SELECT url_key FROM checks)) AS date_only FROM timed)
-    SELECT last_status IN ('ok', 'degraded') OR (last_status = 'running' AND age <= 0.25) AS last_run_ok, age <= 6 AS last_run_within_6h, general_24h > 0 AS general_has_recent_news, missing <= 3 AS published_time_healthy, date_only <= 5 AS published_time_has_clock FROM r, c""",
-)
-def _(t):
-    return reports.health_checks(_figures(t)).select("last_run_ok", "last_run_within_6h", "general_has_recent_news", "published_time_healthy", "published_time_has_clock")
-
-
 @query("run_diagnostics_rollup", "SELECT 'k' AS name, count(*) AS runs, CAST(sum(CAST(message->>'$.k' AS DOUBLE)) AS BIGINT) AS total FROM runs WHERE message->>'$.k' IS NOT NULL")
 def _(t):
     return reports.run_diagnostics(t.runs())
@@ -471,7 +457,7 @@ def _(t):
 @query("usage_storage", "SELECT (SELECT count(*) FROM articles) AS n_articles, (SELECT count(*) FROM saved) AS n_saved, (SELECT count(*) FROM runs) AS n_runs, CASE WHEN (SELECT count(*) FROM articles) % 100 >= 85 THEN 'danger' WHEN (SELECT count(*) FROM articles) % 100 >= 70 THEN 'warn' ELSE 'ok' END AS level")
 def _(t):
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    return _side_by_side(n(t.articles(), "n_articles"), n(t.saved(), "n_saved"), n(t.runs(), "n_runs")).withColumn("level", reports.storage_level(F.col("n_articles") % 100))
+    return side_by_side(n(t.articles(), "n_articles"), n(t.saved(), "n_saved"), n(t.runs(), "n_runs")).withColumn("level", reports.storage_level(F.col("n_articles") % 100))
 
 
 # --- budgets ------------------------------------------------------------------------------------------------
