@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.times import effective_time, korea_day
-from ..lineage import new_folder
+from ..lineage import cut, new_folder
 from ..operators import calls, diagnostics, merge, reports
+from ..operators.issuecache import page_issues
 from ..sources.store import Store
 from ..streaming import stateful
 from . import relational, textual
@@ -247,3 +248,54 @@ def health(t: Tables) -> DataFrame:
 @query("health_checks", _FIGURES_SQL)
 def _(t):
     return health(t).drop("failures")
+
+
+# --- issues from the cache ------------------------------------------------------------------------------
+
+_BUILT = ("2024-01-29 00:00:00", "2024-01-29 18:00:00", "2024-01-31 06:00:00")
+_ASKED_AT = ("2024-01-29 12:00:00", "2024-01-31 00:00:00")
+
+
+def issue_history(t: Tables) -> DataFrame:
+    """Payloads of three times, each of the 400 articles before it, by source; the last one can't be read, and an empty one of
+    another category stands beside."""
+    rows = textual._recent_rows(t)
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    rest = number >= 17
+    out = t.spark.createDataFrame([("다른", 9, "[]", _BUILT[0]), ("일반", 8, "{broken", _BUILT[2])], "category string, id long, payload string, built_at string")
+    for i, at in enumerate(_BUILT[:2]):
+        some = rows.filter(F.col("w") < F.to_timestamp(F.lit(at))).orderBy(F.desc("w"), "id").limit(400)
+        groups = some.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("w")).alias("o"), "id", "url_key"))), lambda x: x["url_key"]).alias("url_keys"))
+        title = F.when(rest, "기타").otherwise(F.concat(F.lit("tournament"), number % 7, F.when(number % 2 == 0, " 배 ").otherwise(" "), "source"))
+        one = groups.select(F.struct(F.when(rest, "일반|ai:misc").otherwise(F.concat(F.lit("일반|ai:"), number)).alias("key"), title.alias("title"), "url_keys").alias("g"), number.alias("k"))
+        payload = one.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda x: x["g"])).alias("payload"))
+        out = out.unionByName(payload.select(F.lit("일반").alias("category"), F.lit(i).cast("long").alias("id"), "payload", F.lit(at).alias("built_at")))
+    return out.withColumn("built_at", F.to_timestamp("built_at"))
+
+
+def page_cards(t: Tables) -> DataFrame:
+    """The newest 400 articles as cards."""
+    rows = textual._recent_rows(t).orderBy(F.desc("w"), "id").limit(400)
+    score = t.popularity().select("url_key", "score")
+    rows = rows.join(score, "url_key", "left")
+    order = F.row_number().over(Window.orderBy(F.desc("w"), "id"))
+    return rows.select(order.alias("ord"), "url_key", F.lit("일반").alias("category"), "title", "summary", (F.col("id") % 3).cast("int").alias("related_count"), F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _issues_sql(asked: str, built: str) -> str:
+    return f"""SELECT '{asked}' AS asked, t.* FROM (WITH cut AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS k FROM timed WHERE when_ts < TIMESTAMP '{built}' ORDER BY when_ts DESC, id LIMIT 400),
+        cards AS (SELECT id, url_key, id % 3 AS related, strftime(when_ts, '%Y-%m-%d %H:%M:%S') AS moment, coalesce(score, 0) AS score FROM (SELECT * FROM timed ORDER BY when_ts DESC, id LIMIT 400) LEFT JOIN popularity USING (url_key)),
+        heads AS (SELECT k % 7 AS event, min(k) AS k FROM cut WHERE k < 17 GROUP BY 1),
+        members AS (SELECT CASE WHEN c.k >= 17 THEN '일반|ai:misc' ELSE '일반|ai:' || h.k END AS key, CASE WHEN c.k >= 17 THEN '기타' ELSE 'tournament' || h.event || CASE WHEN h.k % 2 = 0 THEN ' 배 ' ELSE ' ' END || 'src' || h.k END AS title, d.*
+            FROM cut c JOIN cards d USING (url_key) LEFT JOIN heads h ON h.event = c.k % 7),
+        counts AS (SELECT key, title, CAST(sum(1 + related) AS BIGINT) AS count, max(moment) AS latest, max(score) AS score FROM members GROUP BY 1, 2),
+        ranked AS (SELECT *, key LIKE '%|ai:misc' AS misc, contains(title, '배') AS tournament, row_number() OVER (PARTITION BY key LIKE '%|ai:misc', contains(title, '배') ORDER BY score DESC, count DESC, latest DESC, key) AS n FROM counts),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY misc ORDER BY (tournament AND n <= 2) DESC, score DESC, count DESC, latest DESC, key) AS m FROM ranked)
+        SELECT key, title, count, latest, score, row_number() OVER (ORDER BY misc, score DESC, latest DESC, key) AS shown FROM placed WHERE misc OR m <= 4) t"""
+
+
+@query("issues_from_cache", " " + " UNION ALL ".join(map(_issues_sql, _ASKED_AT, _BUILT)))
+def _(t):
+    cards, history = cut(page_cards(t)), cut(issue_history(t))
+    one, other = [page_issues(cards, history, "일반", at, 4).select(F.lit(at).alias("asked"), "key", "title", "count", "latest", "score", "shown") for at in _ASKED_AT]
+    return one.unionByName(other)

@@ -300,10 +300,14 @@ def _(t):
     return story_window(rows.filter(stored), rows.filter(~stored), NOW)
 
 
+def _recent_rows(t: Tables) -> DataFrame:
+    """Articles with w, the time at which they count as published."""
+    return t.articles().withColumn("w", effective_time(F.col("published_at"), F.col("fetched_at")))
+
+
 def _recent(t: Tables) -> DataFrame:
     """What is classified at a time: the newest 400 articles of 30 days, ord in order of time, as one category."""
-    when = effective_time(F.col("published_at"), F.col("fetched_at"))
-    rows = t.articles().withColumn("w", when).filter(F.col("w") >= F.to_timestamp(F.lit(NOW)) - F.expr("interval 30 days"))
+    rows = _recent_rows(t).filter(F.col("w") >= F.to_timestamp(F.lit(NOW)) - F.expr("interval 30 days"))
     rows = rows.orderBy(F.desc("w"), "id").limit(400)
     return rows.select(F.row_number().over(Window.orderBy(F.desc("w"), "id")).alias("ord"), F.lit("일반").alias("category"), "url_key", "title", "summary", F.col("category").alias("topic"), "source", F.lit(False).alias("is_popular"))
 
