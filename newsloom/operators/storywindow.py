@@ -1,16 +1,18 @@
 """Is a title's story known? The titles of a run, in order, against what was published in the last days and what the run adds.
 
 Of the titles of one Korean day the first match decides, and only a title without a match, with a summary that can be published,
-is added to what the next ones are held against. The outcome depends on the order, but not on going through it one by one: a title
-is settled as soon as one of its earlier matches is known to be in (it is told already), or all of them are known to be out (it is
-in, if it can be). Each round of joins settles all titles for which that holds; rounds are as many as the longest chain of
-titles that wait for each other, not as there are titles.
+is added to what the next ones are held against. The outcome depends on the order, but not on going through it one by one. Titles
+are taken in batches that double: the first 64 of each day, the next 64, the next 128. Within a batch a title is settled as soon as
+one of its earlier matches is known to be in (it is told already), or all of them are known to be out (it is in, if it can be);
+rounds of joins settle all that can be, and are as many as the longest chain of titles that wait for each other. What a batch adds
+is then held against all later titles of its day at once, and those that match are never compared with each other: a day of few
+stories told many times costs their product, not the square of its titles.
 
 Titles that are alike, letter by letter, are one node: a story told a hundred thousand times has one row in the joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -32,14 +34,16 @@ def _near(a: Column, b: Column, least: float) -> Column:
     return (a != "") & (b != "") & ((a == b) | (dice_c(bigrams_c(a), bigrams_c(b)) >= least))
 
 
-def same_stories(classes: DataFrame, least: float = fixed.SAME_STORY) -> DataFrame:
+def same_stories(classes: DataFrame, others: DataFrame | None = None, least: float = fixed.SAME_STORY) -> DataFrame:
     """(left, right), left < right: classes (id, day, whole, tail, serials) of a day that tell the same story: alike with and
-    without the tag, and no serial numbers that differ."""
-    by_grams = dice_pairs(classes.select("id", "day", "whole"), least, "whole", by=("day",)).select("left", "right")
-    short = classes.filter(F.length("whole") == 1).select("id", "day", "whole")  # no bigrams: alike if equal
-    by_letter = short.withColumnRenamed("id", "left").join(short.withColumnRenamed("id", "right"), ["day", "whole"]).filter("left < right").select("left", "right")
-    side = lambda n: classes.select(F.col("id").alias(n), F.col("tail").alias(f"tail_{n}"), F.col("serials").alias(f"serials_{n}"))
-    both = by_grams.union(by_letter).join(side("left"), "left").join(side("right"), "right")
+    without the tag, and no serial numbers that differ. With others, each of classes with each of others."""
+    second, apart = (classes, "left < right") if others is None else (others, "left <> right")
+    wholes = lambda df: df.select("id", "day", "whole")
+    by_grams = dice_pairs(wholes(classes), least, "whole", ("day",), None if others is None else wholes(others)).select("left", "right")
+    short = lambda df, n: wholes(df).filter(F.length("whole") == 1).withColumnRenamed("id", n)  # noqa: E731  no bigrams: alike if equal
+    by_letter = short(classes, "left").join(short(second, "right"), ["day", "whole"]).filter(apart).select("left", "right")
+    side = lambda df, n: df.select(F.col("id").alias(n), F.col("tail").alias(f"tail_{n}"), F.col("serials").alias(f"serials_{n}"))
+    both = by_grams.union(by_letter).join(side(classes, "left"), "left").join(side(second, "right"), "right")
     conflict = (F.size("serials_left") > 0) & (F.size("serials_right") > 0) & ~F.arrays_overlap("serials_left", "serials_right")
     return both.filter(~conflict & _near(F.col("tail_left"), F.col("tail_right"), least)).select("left", "right")
 
@@ -75,7 +79,36 @@ def _settled(classes: DataFrame, edges: DataFrame) -> DataFrame:
             return state.filter("inside").select("id", "first")
 
 
-def story_window(stored: DataFrame, candidates: DataFrame, now: str, days: int = 7, least: float = fixed.SAME_STORY, words: int = 3) -> DataFrame:
+def _batches(classes: DataFrame, least: float, words: int, first_batch: int) -> tuple[DataFrame, DataFrame]:
+    """(inside, hits): (id, first) of the classes whose first title is in, and (class, kind, first): of each class the first title
+    that is in and tells its story (kind 0) or shares its words (kind 1)."""
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.col("first").asc_nulls_last()))
+    # open: no story found yet; may: could still be in itself
+    open_ = cut(classes.withColumn("rank", F.when(F.col("first").isNotNull(), rank)).withColumn("may", F.col("first").isNotNull()))
+    top = open_.agg(F.max("rank")).first()[0] or 0
+    inside, hits, low, high = None, None, 0, first_batch
+    while low < top:
+        batch = open_.filter(f"may and rank > {low} and rank <= {high}")
+        story, shared = same_stories(batch, None, least), keyword_pairs(batch.select("id", "day", "title"), words).select("left", "right")
+        pairs = story.withColumn("kind", F.lit(0)).union(shared.withColumn("kind", F.lit(1)))
+        edges = pairs.toDF("later", "earlier", "kind").union(pairs.select("right", "left", "kind")).join(batch.select(F.col("id").alias("later"), "baduk"), "later")
+        added = cut(_settled(batch, edges.filter("kind = 0 or not baduk").select("later", "earlier")))
+        told = batch.join(added.select("id"), "id", "left_semi")
+        story, shared = same_stories(open_, told, least), keyword_pairs(open_.filter("not baduk").select("id", "day", "title"), words, others=told.select("id", "day", "title")).select("left", "right")
+        found = story.withColumn("kind", F.lit(0)).union(shared.withColumn("kind", F.lit(1))).join(added.withColumnRenamed("id", "right"), "right")
+        found = cut(found.groupBy(F.col("left").alias("class"), "kind").agg(F.min("first").alias("first")))
+        inside, hits = (added, found) if inside is None else (inside.union(added), hits.union(found))
+        # what is added later comes later in its day, so the first story found is the first there is
+        known = found.groupBy(F.col("class").alias("id")).agg(F.max((F.col("kind") == 0).cast("int")).alias("story"))
+        open_ = open_.join(known, "id", "left").filter("story is null or story = 0")
+        open_ = cut(open_.withColumn("may", F.col("may") & (F.col("rank") > high) & F.col("story").isNull()).drop("story"))
+        low, high = high, 2 * high
+    if inside is None:
+        inside, hits = classes.select("id", "first").filter("false"), classes.select(F.col("id").alias("class"), F.lit(0).alias("kind"), "first").filter("false")
+    return cut(inside), hits
+
+
+def story_window(stored: DataFrame, candidates: DataFrame, now: str, days: int = 7, least: float = fixed.SAME_STORY, words: int = 3, first_batch: int = 64) -> DataFrame:
     """Per candidate: id, day, duplicate_of (id of the published or earlier title that tells its story, or null), by ('story',
     'words' or null), joined (whether later ones were held against it).
 
@@ -93,18 +126,10 @@ def story_window(stored: DataFrame, candidates: DataFrame, now: str, days: int =
     undated = rows.filter("day is null").select(F.col("row_id").alias("id"), "day", F.lit(None).cast("long").alias("duplicate_of"), F.lit(None).cast("string").alias("by"), F.lit(False).alias("joined"))
     members, classes = _classes(rows.filter("day is not null"))
     members = cut(members)
-    story = same_stories(classes, least)
-    shared = keyword_pairs(classes.select("id", "day", "title"), words).select("left", "right")
-    go = classes.select("id", "baduk", F.col("first").isNotNull().alias("can"))
-    pairs = story.withColumn("kind", F.lit(0)).union(shared.withColumn("kind", F.lit(1)))
-    edges = pairs.toDF("later", "earlier", "kind").union(pairs.select("right", "left", "kind"))
-    edges = edges.join(go.toDF("later", "go", "can_l"), "later").join(go.toDF("earlier", "go_e", "can_e"), "earlier")
-    edges = cut(edges.filter("can_e and (kind = 0 or not go)").select("later", "earlier", "kind", "can_l"))
-    inside = cut(_settled(classes, edges.filter("can_l").select("later", "earlier")))
+    inside, hits = _batches(classes, least, words, first_batch)
     # the first title of a class matches the later ones of its own
-    own = inside.join(classes.filter("lone is null").select("id"), "id", "left_semi").select(F.col("id").alias("later"), F.lit(0).alias("kind"), "first")
-    hits = edges.join(inside.withColumnRenamed("id", "earlier"), "earlier").select("later", "kind", "first").union(own)
-    best = hits.groupBy(F.col("later").alias("class")).agg(*[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(n) for k, n in ((0, "story"), (1, "words"))])
+    own = inside.join(classes.filter("lone is null").select("id"), "id", "left_semi").select(F.col("id").alias("class"), F.lit(0).alias("kind"), "first")
+    best = hits.union(own).groupBy("class").agg(*[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(n) for k, n in ((0, "story"), (1, "words"))])
     out = members.filter("judged = 1").join(best, "class", "left").join(inside.select(F.col("id").alias("class"), F.col("first.row_id").alias("in_id")), "class", "left")
     by = F.when(F.col("story.place") < F.col("place"), "story").when(F.col("words.place") < F.col("place"), "words")
     out = out.withColumn("by", by)
