@@ -2,7 +2,7 @@
 
 Of the titles of one Korean day the first match decides, and only a title without a match, with a summary that can be published,
 is added to what the next ones are held against. The outcome depends on the order, but not on going through it one by one. Titles
-are taken in batches that double: the first 64 of each day, the next 64, the next 128. Within a batch a title is settled as soon as
+are taken in batches that double: the first 256 of each day, the next 256, the next 512. Within a batch a title is settled as soon as
 one of its earlier matches is known to be in (it is told already), or all of them are known to be out (it is in, if it can be);
 rounds of joins settle all that can be, and are as many as the longest chain of titles that wait for each other. What a batch adds
 is then held against all later titles of its day at once, and those that match are never compared with each other: a day of few
@@ -108,7 +108,7 @@ def _batches(classes: DataFrame, least: float, words: int, first_batch: int) ->
     return cut(inside), hits
 
 
-def story_window(stored: DataFrame, candidates: DataFrame, now: str, days: int = 7, least: float = fixed.SAME_STORY, words: int = 3, first_batch: int = 64) -> DataFrame:
+def story_window(stored: DataFrame, candidates: DataFrame, now: str, days: int = 7, least: float = fixed.SAME_STORY, words: int = 3, first_batch: int = 256) -> DataFrame:
     """Per candidate: id, day, duplicate_of (id of the published or earlier title that tells its story, or null), by ('story',
     'words' or null), joined (whether later ones were held against it).
 
