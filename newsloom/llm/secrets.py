@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ ALLOW = tuple(
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
         r"(?i)abcdefghij|0123456789|qwertyuiop",
         r"(?i)example|placeholder|changeme|dummy|sample|xxxx",
-        r"(?:[a-z]{2,}[/_-]){3,}",
+        r"(?<![a-z])(?:[a-z]{2,}+[/_-]){3,}",  # tried once a run of letters, so that a long one takes no more than its length
     )
 )
 _XLOGX = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
@@ -87,14 +88,27 @@ def allowed(s: str) -> bool:
     return len(s) - sum(inside) < WINDOW / 2 or 2 * sum(inside) >= len(s)
 
 
-def uncovered(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of a candidate outside the spans reported already, which are sorted."""
+def united(spans) -> list[list[int]]:
+    """The spans as disjoint ones in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def uncovered(start: int, end: int, taken: list[list[int]]) -> list[tuple[int, int]]:
+    """The parts of a candidate outside the spans reported already, which are disjoint and in order: only those it meets are looked at."""
     out = []
-    for a, b in taken:
-        if a < end and start < b:
-            if start < a:
-                out.append((start, a))
-            start = max(start, b)
+    for i in range(bisect_right(taken, start, key=lambda x: x[1]), len(taken)):
+        a, b = taken[i]
+        if a >= end:
+            break
+        if start < a:
+            out.append((start, a))
+        start = max(start, b)
     return out + [(start, end)] * (start < end)
 
 
@@ -109,15 +123,16 @@ def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), 1.0) for m in _ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), 1.0) for m in _HEX.finditer(text)]
-    taken = sorted((a, b) for _, a, b, _ in out)
+    taken = united((a, b) for _, a, b, _ in out)
     added: list[tuple[str, int, int, float]] = []
     for m in _CANDIDATE.finditer(text):
         for start, end in uncovered(m.start(), m.end(), taken) if taken else [m.span()]:
             part, mine = text[start:end], []
             for kind, shape, bits in CLASSES:
+                before = united(q[1:3] for q in mine)  # windows of one class are disjoint, so that only those of the classes before it count
                 for run in shape.finditer(part):
                     for a, b in windows_over(run[0], bits):
-                        for x, y in uncovered(start + run.start() + a, start + run.start() + b, sorted(q[1:3] for q in mine)):
+                        for x, y in uncovered(start + run.start() + a, start + run.start() + b, before):
                             s = text[x:y]
                             if y - x >= WINDOW and SHAPED[kind](s) and not allowed(s):
                                 mine.append((kind, x, y, bits / math.log2(WINDOW)))
