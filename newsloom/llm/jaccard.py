@@ -95,7 +95,7 @@ class RTree:
 
 
 def _points(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 (hashes of the whole set), prefix, counts."""
+    """doc_id, mark (a hash of the text), n, k1, k2 (hashes of the whole set), prefix, counts."""
 
     def run(batches):
         for b in text_batches(batches):
@@ -107,11 +107,11 @@ def _points(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             values = np.concatenate(prefix).astype(np.int64) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(counts, pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "prefix", "counts"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(counts, pa.binary())],
+                names=["doc_id", "mark", "n", "k1", "k2", "prefix", "counts"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, counts binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, prefix array<long>, counts binary")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -130,12 +130,13 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Only the texts of these pairs are moved."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of points whose sets are similar. Only the texts of these pairs are moved."""
     pairs = written(pairs, "jaccard-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "jaccard-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    ids = pairs.select(F.col("a").alias("point")).union(pairs.select(F.col("b").alias("point"))).distinct()
+    named = classes.select("point", F.col("representative").alias("doc_id"), "mark").join(ids, "point", "left_semi")
+    texts = written(docs.join(named, ["doc_id", "mark"]).select("point", "text"), "jaccard-texts")
+    side = lambda x: texts.select(F.col("point").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -183,18 +184,32 @@ def _search(rows: DataFrame) -> DataFrame:
     return dealt.repartition(parts, "g").sortWithinPartitions("g", "n", "doc_id").mapInArrow(run, "a long, b long")
 
 
+def _classes(real: DataFrame) -> DataFrame:
+    """(k1, k2, n, representative, mark, point): a row for each set, with the smallest row that has it and its point.
+
+    The point is the representative's id, or a hash of the set where several sets have the same representative."""
+    first = real.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    plain = written(first.select("k1", "k2", "n", F.col("first.doc_id").alias("representative"), F.col("first.mark").alias("mark")), "jaccard-sets")
+    several = plain.groupBy("representative").count().filter("count > 1").select("representative", F.lit(True).alias("several"))
+    point = F.when(F.col("several"), F.xxhash64("k1", "k2", "n", "representative")).otherwise(F.col("representative"))
+    return plain.join(several, "representative", "left").select("k1", "k2", "n", "representative", "mark", point.alias("point"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, representative (smallest id with the same set), component_id.
+    """Per row of docs: doc_id, mark (a hash of the text), n_shingles, representative (smallest id with the same set), component_id,
+    kept (whether id and text are the smallest of the component).
 
-    Null, empty or blank text: no shingles, linked with nothing. Rows with a null id are linked with nothing and get a null
+    Null, empty or blank text: no shingles, linked with nothing, kept. Rows with a null id are linked with nothing, kept, and get a null
     component. Equal texts, repeated rows among them, are linked; rows that share an id but not their text are judged each by
     its text. Other columns are not looked at; an empty table gives an empty result."""
-    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     points = written(_points(docs), "jaccard-points")
     real = points.filter("n > 0 and doc_id is not null")
-    classes = written(real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("representative")), "jaccard-classes")
-    copies = real.join(classes, ["k1", "k2", "n"]).filter("doc_id <> representative").select("doc_id", "k1", "k2", "n").distinct()
+    classes = written(_classes(real), "jaccard-classes")
+    copies = real.join(classes.drop("mark", "point"), ["k1", "k2", "n"]).filter("doc_id <> representative").select("doc_id", "k1", "k2", "n").distinct()
     own = real.join(copies, ["doc_id", "k1", "k2", "n"], "left_anti")
+    other = written(classes.filter("point <> representative").select("k1", "k2", "n", "point"), "jaccard-renamed")  # none where ids do not repeat
+    own = own.join(other, ["k1", "k2", "n"], "left").select(F.coalesce("point", "doc_id").alias("doc_id"), "n", "prefix", "counts")
     same = Window.partitionBy("h")
     trees = own.select(F.explode("prefix").alias("h"), "doc_id", "n").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).filter("low < high").select("h", "doc_id", "n", "low")
     trees = written(trees, "jaccard-trees")
@@ -202,7 +217,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # first a pair a document: with the smallest id that most of its trees have
     leader = trees.filter("doc_id <> low").groupBy("doc_id", "low").count().groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("low")).alias("low"))).alias("best"))
     leader = leader.select((-F.col("best.low")).alias("a"), F.col("doc_id").alias("b"))
-    first = written(_verified(_bounded(leader, own), docs), "jaccard-links")
+    first = written(_verified(_bounded(leader, own), docs, classes), "jaccard-links")
     comp = written(components(first), "jaccard-components")
 
     # then all pairs of points in different components
@@ -214,23 +229,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     fits = (5 * F.coalesce("less", F.lit(0)) >= 4 * F.col("n")) | (4 * F.col("more") <= 5 * F.col("n"))
     split = written(placed.filter("low < high").filter(fits).select("h", F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / BLOCK)).alias("blocks"), "doc_id", "component"), "jaccard-split")
     near = _search(split.join(own.select("doc_id", "n", "counts"), "doc_id")).distinct()
-    second = _verified(near, docs)
+    second = _verified(near, docs, classes)
     links = first.union(second)
     final = written(components(links), "jaccard-final")
-    out = points.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left").join(final, F.col("representative") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("representative", "doc_id").alias("representative"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "representative", "doc_id")).alias("component_id"))
+    least = final.join(classes, F.col("id") == F.col("point")).groupBy("component").agg(F.min(F.struct("representative", "mark")).alias("least"))
+    final = final.join(least, "component").select("id", "least")
+    mine = classes.select("k1", "k2", "n", "representative", "point", F.struct("representative", "mark").alias("own"))
+    out = points.select("doc_id", F.col("mark").alias("m"), "n", "k1", "k2").join(mine, ["k1", "k2", "n"], "left").join(final, F.col("point") == F.col("id"), "left")
+    out = out.withColumn("least", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "own")))
+    kept = F.coalesce((F.col("doc_id") == F.col("least.representative")) & (F.col("m") == F.col("least.mark")), F.lit(True))
+    return out.select(
+        "doc_id", F.col("m").alias("mark"), F.col("n").alias("n_shingles"), F.coalesce("representative", "doc_id").alias("representative"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least.representative", "doc_id")).alias("component_id"), kept.alias("kept"),
+    )
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that are linked, directly or not, to a smaller id. Rows with a null id stay; of rows that
-    repeat id and text one stays."""
-    found = jaccard_components(docs)
-    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
-    rows = carried(docs, "doc_id", "text").select("rest", "doc_id", F.xxhash64("text").alias("mark"))
-    out = rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The rows of docs, all columns, without those that are linked, directly or not, to a smaller id or to a smaller text of their id.
+
+    Rows with a null id, and texts without words, stay. Of rows that repeat id and text the smallest by its other columns stays.
+    An empty table gives an empty one; names may clash."""
+    gone = written(jaccard_components(docs).filter("not kept").select(F.col("doc_id").alias("gone"), F.col("mark").alias("lost")).distinct(), "jaccard-gone")
+    rows = carried(docs, "doc_id", "text").select("rest", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"))
+    out = rows.join(gone, (F.col("doc_id") == F.col("gone")) & (F.col("mark") == F.col("lost")), "left_anti")
     if rows.filter("doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
         return restored(out, docs)
-    number = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.to_json("rest")))
     return restored(out.withColumn("n", number).filter("doc_id is null or n = 1"), docs)
 
 
