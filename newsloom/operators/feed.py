@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.gates import quality_conjuncts
 from ..functions.times import effective_time, korea_day
+from .search import matching
 
 VIEWS = ("latest", "saved", "hidden", "popular", "home")
 
@@ -59,7 +60,8 @@ def ranked_only(articles: DataFrame, popularity: DataFrame, items: DataFrame) ->
     return articles.join(keys, "url_key", "left").join(titles, "title", "left").filter("by_key or by_title").drop("by_key", "by_title")
 
 
-def feed(articles: DataFrame, saved: DataFrame, hidden: DataFrame, likes: DataFrame, popularity: DataFrame, items: DataFrame, params: FeedParams) -> DataFrame:
+def feed(articles: DataFrame, saved: DataFrame, hidden: DataFrame, likes: DataFrame, popularity: DataFrame, items: DataFrame, params: FeedParams, trigrams: DataFrame | None = None) -> DataFrame:
+    """trigrams: the table of search.append_trigrams, which a search then reads in place of all titles and summaries."""
     p = params.clamped()
     now = F.to_timestamp(F.lit(p.now))
     mine = lambda t: t.filter(F.col("user_id") == p.user_id).select("url_key").distinct()
@@ -75,8 +77,7 @@ def feed(articles: DataFrame, saved: DataFrame, hidden: DataFrame, likes: DataFr
     if p.exclude_baduk and p.category != "바둑":
         rows = rows.filter(~F.col("category").isin(*fixed.EXCLUDED_FROM_GENERAL))
     if p.query:
-        term = "%" + "".join("\\" + c if c in "\\%_" else c for c in p.query) + "%"
-        rows = rows.filter(F.col("title").ilike(term) | F.col("summary").ilike(term) | F.col("press").ilike(term))
+        rows = matching(rows, p.query, trigrams)
     rows = rows.join(mine(hidden), "url_key", "left_semi" if p.view == "hidden" else "left_anti")
     if p.view == "saved":
         rows = rows.join(mine(saved), "url_key", "left_semi")

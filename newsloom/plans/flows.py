@@ -12,7 +12,7 @@ from ..lineage import cut, new_folder
 from ..operators import calls, diagnostics, merge, reports
 from ..operators.issuecache import page_issues
 from ..sources.store import Store
-from ..streaming import stateful
+from ..streaming import joins, stateful
 from . import relational, textual
 from .standin import NOW, Tables, sql
 
@@ -105,6 +105,39 @@ def _to_end(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     return stateful.run_to_files(stream, f"{folder}/rows", f"{folder}/checkpoint")
 
 
+def _landing(t: Tables, rows: DataFrame, name: str) -> DataFrame:
+    """A stream of rows with a time ts, as they land in a folder of their own, and the row that ends it."""
+    folder = new_folder(t.spark, name)
+    rows.write.parquet(folder)
+    joins.closing_row(t.spark.read.schema(rows.schema).parquet(folder)).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).parquet(folder)
+
+
+def _run_out(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(t.spark, name)
+    return joins.run_out(stream, f"{folder}/rows", f"{folder}/checkpoint")
+
+
+def _dated_articles(t: Tables) -> DataFrame:
+    return t.articles().select("id", "url_key", "summary_quality", effective_time(F.col("published_at"), F.col("fetched_at")).alias("ts"))
+
+
+def _settled_attempts(t: Tables) -> DataFrame:
+    return t.attempts().withColumnRenamed("last_attempt", "ts")
+
+
+@query("attempts_joined_stream", " SELECT id, coalesce(attempts, 0) AS attempts FROM articles LEFT JOIN attempts USING (url_key)")
+def _(t):
+    articles, attempts = _landing(t, _dated_articles(t), "landed-articles"), _landing(t, _settled_attempts(t), "landed-attempts")
+    return _run_out(t, joins.attempts_of_articles(articles, attempts), "attempts-joined")
+
+
+@query("attempts_open_stream", " SELECT url_key, attempts FROM attempts WHERE url_key NOT IN (SELECT url_key FROM articles WHERE summary_quality = 'full')")
+def _(t):
+    done = _dated_articles(t).filter(F.col("summary_quality") == "full").select("url_key", "ts")
+    return _run_out(t, joins.attempts_not_done(_landing(t, _settled_attempts(t), "landed-attempts"), _landing(t, done, "landed-done")), "attempts-open")
+
+
 @query("publish_cap_stream", " SELECT id, bucket, kst_day, CAST(place AS INTEGER) AS place FROM (SELECT event_id AS id, event_type AS bucket, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS kst_day, row_number() OVER (PARTITION BY event_type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') ORDER BY ts, event_id) AS place FROM ev) WHERE place <= 12")
 def _(t):
     rows = _stream(t, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("bucket"), "ts")

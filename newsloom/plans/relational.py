@@ -12,8 +12,9 @@ from ..functions import fixed
 from ..functions.extract import allowed_c, host_c
 from ..functions.gates import quality_conjuncts
 from ..functions.times import cost_micro_usd, daily_allowance, effective_time, is_date_only, korea, korea_day
+from ..lineage import new_folder
 from ..operators import candidates as C
-from ..operators import control, issues, merge, repairs, reports
+from ..operators import control, issues, merge, repairs, reports, search
 from ..operators.diagnostics import side_by_side
 from ..operators.feed import FeedParams, feed, likers, ranked_only
 from .standin import NOW, USER, Tables, sql
@@ -37,9 +38,9 @@ def query(name: str, oracle: str | None = None):
 _SHOWN = ("id", "title", "category", "when_at", "saved", "liked", "like_count", "popularity_score")
 
 
-def _feed(t: Tables, **params) -> DataFrame:
+def _feed(t: Tables, trigrams: DataFrame | None = None, **params) -> DataFrame:
     p = FeedParams(now=NOW, user_id=USER, **params)
-    rows = feed(t.articles(), t.saved(), t.hidden(), t.likes(), t.popularity(), t.popular_items(), p)
+    rows = feed(t.articles(), t.saved(), t.hidden(), t.likes(), t.popularity(), t.popular_items(), p, trigrams)
     return rows.withColumn("when_at", F.date_format("when_ts", "yyyy-MM-dd HH:mm:ss")).select(*_SHOWN)
 
 
@@ -103,6 +104,13 @@ def _(t):
     return _feed(t, query="TION")
 
 
+@query("feed_search_trigrams", _feed_sql("(title ILIKE '%TION%' OR summary ILIKE '%TION%' OR press ILIKE '%TION%')"))
+def _(t):
+    path, articles = new_folder(t.spark, "trigrams"), t.articles()
+    search.append_trigrams(articles, path)
+    return _feed(t, search.read_trigrams(t.spark, path, articles), query="TION")
+
+
 @query("feed_exclude", _feed_sql("category NOT IN ('바둑', 'IT/과학') AND category = 'fr'"))
 def _(t):
     return _feed(t, category="fr", exclude_baduk=True)
