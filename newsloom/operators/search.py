@@ -43,9 +43,12 @@ def folder_of(gram: Column, folders: int = FOLDERS) -> Column:
 
 
 def _grams(text: Column) -> Column:
-    """The different trigrams of a text: one pass over its characters. Null has none."""
+    """The trigrams of a text: its characters beside the ones that follow, so that no step looks at the whole text for each. Null has none."""
     chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    return F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (GRAM - 1), F.lit(0))), lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, GRAM)]))
+    out = chars
+    for k in range(1, GRAM):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.size(chars)), lambda x, y: F.concat(x, y))  # null where nothing follows
+    return F.array_compact(out)
 
 
 def trigrams(articles: DataFrame, key: str = "id", fields: tuple[str, ...] = FIELDS, folders: int = FOLDERS) -> DataFrame:
