@@ -89,3 +89,11 @@ def test_query_has_matches_of_both_kinds(spark, data):
     got = queries()["story_index"](spark, data).groupBy("by", "joined").count().collect()
     seen = {(r.by, r.joined): r["count"] for r in got}
     assert seen.get(("story", False)) and seen.get((None, True))
+
+
+@pytest.mark.parametrize("first_batch", [1, 2, 64])
+def test_what_is_published_counts_whatever_it_repeats(spark, first_batch):
+    """A published title stays known though an earlier one tells its story."""
+    row = lambda i, t: (i, t, "일반", T0 + timedelta(minutes=i), "요약", "full")
+    stored = [row(1, "abcdefghijklmn"), row(2, "abcdefghijuvwxyz"), row(3, "qqqqrrrr ssss")]
+    held(spark, stored, [row(4, "ijuvwxyzopq"), row(5, "abcdefghijkl")], first_batch)
