@@ -161,7 +161,8 @@ def _(t):
 @query("cursor_slots_stream", " SELECT event_type AS cursor, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS slot FROM ev")
 def _(t):
     rows = _stream(t, "events").select(F.col("event_type").alias("cursor"), F.col("event_id").alias("id"), "ts")
-    return _to_end(t, stateful.cursors(rows), "cursors").select("cursor", "id", "slot")
+    folder = new_folder(t.spark, "cursors")
+    return stateful.cursors_to_files(rows, f"{folder}/rows", f"{folder}/checkpoint").select("cursor", "id", "slot")
 
 
 # --- stores ---------------------------------------------------------------------------------------------

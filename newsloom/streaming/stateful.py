@@ -1,15 +1,18 @@
 """What runs keep between them, as state of streams: the day's publishing cap, the retry gate and the cursors.
 
 Each gives, when rows come in order of their time, what its batch form gives. The rows of a key that come in one micro-batch meet
-in one task; maxFilesPerTrigger bounds them. State is in RocksDB, which keeps it on disk and not in the executor's heap."""
+in one task, but in cursors_to_files(); maxFilesPerTrigger bounds them. State is in RocksDB, which keeps it on disk and not in the executor's heap."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -179,6 +182,73 @@ def cursor_slots(runs: DataFrame) -> DataFrame:
     return runs.select("cursor", "id", (F.row_number().over(Window.partitionBy("cursor").orderBy("ts", "id")) - 1).cast("long").alias("slot"))
 
 
+SEEN = "kind string, cursor string, id long, slot long, at timestamp"
+TURNS = "cursor string, id long, slot long"
+
+
+def _there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # not there yet
+        return spark.createDataFrame([], schema)
+
+
+def _met(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b by columns that may be null; b's are left out."""
+    b = b.withColumnsRenamed({c: f"{c}_" for c in by})
+    return a.join(b, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by]), how).drop(*[f"{c}_" for c in by])
+
+
+def _in_turn(new: DataFrame, after: DataFrame, path: str) -> DataFrame:
+    """new (cursor, id, at), each different, with slot: its place in its cursor by time and id, from the cursor's slot in after on. Rows are
+    dealt to ranges of (cursor, time, id), so that a cursor with most of the runs is in many tasks; only sizes of ranges are summed."""
+    spark, order = new.sparkSession, ["cursor", "at", "id"]
+    dealt = new.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    dealt = dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
+    dealt.write.mode("overwrite").parquet(path)  # what is read back has the same ranges each time
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    before = Window.partitionBy("cursor").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    size = dealt.groupBy("cursor", "part").agg(F.count("*").alias("size"), F.min("n").alias("low"))
+    size = size.select("cursor", "part", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("low")).alias("start"))
+    size = _met(size, after, ["cursor"], "left").select("cursor", "part", (F.col("start") + F.coalesce("slot", F.lit(0))).alias("start"))
+    return _met(dealt, size, ["cursor", "part"]).select("cursor", "id", "at", (F.col("n") + F.col("start")).alias("slot"))
+
+
+def cursors_to_files(runs: DataFrame, path: str, checkpoint: str, keep_hours: int = 48, late: str = "2 days") -> DataFrame:
+    """What cursors() gives, run to the end of what is there now, as Parquet files, for micro-batches and cursors of any size: no cursor is
+    a group of one task. What it keeps between micro-batches is a table beside its rows, in two copies in turn, so that a
+    micro-batch that comes again finds what the one before left. Runs without a time come last; they are remembered as the last ones are."""
+    spark = runs.sparkSession
+
+    def step(batch: DataFrame, n: int) -> None:
+        old = _there(spark, f"{path}/_seen/{(n - 1) % 2}", SEEN) if n else spark.createDataFrame([], SEEN)
+        most = old.filter("kind = 'top'").select(F.unix_micros("at")).first()
+        top = most[0] if most else None
+        rows = batch.select("cursor", "id", F.col("ts").cast("timestamp").alias("ts"))
+        if top is not None:
+            rows = rows.filter(F.col("ts").isNull() | (F.col("ts") > F.timestamp_micros(F.lit(top)) - F.expr(f"interval {late}")))
+        last = rows.agg(F.unix_micros(F.max("ts"))).first()[0]
+        now = max((x for x in (top, last) if x is not None), default=0)
+        seen = old.filter("kind = 'run'").select("cursor", "id", "slot", "at")
+        at = F.min(F.coalesce("ts", F.timestamp_micros(F.lit(now + 1)))).alias("at")
+        new = rows.groupBy("cursor", "id").agg(at)
+        new = _met(new, seen.select("cursor", "id"), ["cursor", "id"], "left_anti")
+        after = old.filter("kind = 'next'").select("cursor", "slot")
+        new = _in_turn(new, after, f"{path}/_turns")
+        known = seen.unionByName(new)
+        told = _met(rows, known, ["cursor", "id"]).select("cursor", "id", "slot")
+        told.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        fresh = known.filter(F.col("at") > F.timestamp_micros(F.lit(now)) - F.expr(f"interval {late}") - F.expr(f"interval {keep_hours} hours"))
+        nexts = after.unionByName(new.select("cursor", (F.col("slot") + 1).alias("slot"))).groupBy("cursor").agg(F.max("slot").alias("slot"))
+        state = fresh.withColumn("kind", F.lit("run")).unionByName(nexts.withColumn("kind", F.lit("next")), allowMissingColumns=True)
+        state = state.unionByName(spark.range(1).select(F.lit("top").alias("kind"), F.timestamp_micros(F.lit(now)).alias("at")), allowMissingColumns=True)
+        state.select("kind", "cursor", "id", "slot", "at").write.mode("overwrite").parquet(f"{path}/_seen/{n % 2}")
+
+    query = runs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return _there(spark, path, f"{TURNS}, batch int").drop("batch")
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All that is there now, as Parquet files: what came before a restart stays, what comes after is added."""
     query = stream.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint)
