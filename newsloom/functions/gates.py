@@ -14,6 +14,7 @@ from .similarity import near_duplicate, title_copy
 from .text import any_of, editorial_key, is_junk, normalize, rejected_title_c, strip_numbering, vectorised
 
 _SENTENCE = re.compile(r"\n+|(?<=[.!?…])\s+(?=[\"'“‘(]?[0-9A-Za-z가-힣])")
+_WIDE = re.compile(r"\s{2,}|[^\S ]")  # white space but a single space
 _BYLINE = re.compile(r"^(?:[가-힣]{2,4}\s*)?(?:기자|특파원)\s*[=:·-]?\s*")
 
 
@@ -23,7 +24,8 @@ def sentences(text: str | None) -> Iterator[str]:
     s = s[: min([len(s), *(at for m in fixed.CUT_MARKERS if (at := s.find(m)) >= 0)])]
     start = 0
     for m in chain(_SENTENCE.finditer(s), [None]):
-        x = _BYLINE.sub("", strip_numbering(s[start : m.start() if m else len(s)])).strip()
+        x = strip_numbering(s[start : m.start() if m else len(s)])
+        x = x[b.end() :].strip() if (b := _BYLINE.match(x)) else x
         start = m.end() if m else len(s)
         if x:
             yield x
@@ -34,16 +36,13 @@ def candidates(text: str | None) -> list[str]:
 
 
 def tidy(line: str) -> str:
-    s = re.sub(r"\s+", " ", strip_numbering(line))
-    return re.sub(r"^[,;:·|]+|[,;:·|]+\Z", "", s).strip()
+    return _WIDE.sub(" ", strip_numbering(line)).strip(",;:·|").strip()
 
 
 def usable(line: str, title: str = "") -> bool:
     low, high = fixed.LINE_LENGTH
-    if is_junk(line):
-        return False
     s = tidy(line)
-    return low <= len(s) <= high and not re.search(r"(?:\.{3,}|…)\Z", s) and not (title and title_copy(s, title)) and not re.match(r"(?:기자|특파원|앵커)\s*[=:]", s)
+    return low <= len(s) <= high and not is_junk(line) and not re.search(r"(?:\.{3,}|…)\Z", s) and not (title and title_copy(s, title)) and not re.match(r"(?:기자|특파원|앵커)\s*[=:]", s)
 
 
 def build_summary(title: str | None, raw: str | None, body: str | None, most: int = 3) -> str:
