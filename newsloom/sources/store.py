@@ -1,9 +1,9 @@
 """A keyed table that batches change in place: only the partitions that a batch touches are written anew.
 
 Rows are dealt to partitions by a hash of their key. A batch is first merged with its partitions' rows into a stage, and marked as
-staged; then the stage replaces the partitions. A batch that comes again, because a stream or a driver went down, either finds its
-stage, and replaces the partitions with it once more, or finds none, and then has changed nothing yet. So a batch counts once,
-whatever it does: sums of counters too. Batches have ascending numbers, as those of foreachBatch have; one writer at a time.
+staged; then the folders of the stage are moved to the place of the partitions. A batch that comes again, because a stream or a driver
+went down, either finds what is left of its stage, and moves that, or no mark, and then has changed nothing yet. So a batch counts
+once, whatever it does: sums of counters too. Batches have ascending numbers, as those of foreachBatch have; one writer at a time.
 
 Replacing a partition with no rows would leave the old ones, so each partition that was ever touched holds a row that is no data."""
 
@@ -28,7 +28,13 @@ class Store:
         self.schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in schema], T.StructField("mark_", T.BooleanType()), T.StructField("part_", T.IntegerType())])
 
     def part(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        """By the hash that repartition() deals rows with, so that what is dealt by the keys to a multiple of parts is in one part a task."""
+        return F.pmod(F.hash(*self.keys), F.lit(self.parts)).cast("int")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Both sides of a change are dealt alike: a join or window on the keys moves no row again, nor does the write."""
+        each = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.parts)
+        return rows.repartition(each * self.parts, *self.keys)
 
     def _read(self, path: str) -> DataFrame:
         try:
@@ -60,12 +66,26 @@ class Store:
         """Merges the batch with the rows of the partitions it touches."""
         touched = [r[0] for r in batch.select(self.part().alias("p")).distinct().collect()]  # parts numbers at most
         old = self._read(self.path).filter(F.col("part_").isin(touched) & F.col("mark_").isNull()).select(*self.columns)
-        rows = change(old, batch).select(*self.columns, F.lit(None).cast("boolean").alias("mark_"), self.part().alias("part_"))
+        rows = change(self._dealt(old), self._dealt(batch)).select(*self.columns, F.lit(None).cast("boolean").alias("mark_"), self.part().alias("part_"))
         none = [F.lit(None).cast(self.schema[c].dataType).alias(c) for c in self.columns]
         marks = self.spark.createDataFrame([(p,) for p in touched], "part_ int").select(*none, F.lit(True).alias("mark_"), "part_")
-        rows.unionByName(marks).repartition("part_").write.mode("overwrite").partitionBy("part_").parquet(self._staged(n))
+        rows.unionByName(marks).write.mode("overwrite").option("compression", "zstd").partitionBy("part_").parquet(self._staged(n))
         self._tell(n)
 
+    def _publish(self, n: int) -> None:
+        """What is still in the stage takes the place of its partitions. Folders are moved, not written again; those that were moved before
+        the writer went down are not in the stage any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path
+        stage = folder(self._staged(n))
+        fs = stage.getFileSystem(conf)
+        for one in fs.listStatus(stage) if fs.exists(stage) else []:
+            if one.getPath().getName().startswith("part_="):
+                to = folder(self.path, one.getPath().getName())
+                fs.delete(to, True)
+                if not fs.rename(one.getPath(), to):
+                    raise OSError(f"{one.getPath()} could not be moved to {to}")
+
     def apply(self, batch: DataFrame, n: int, change: Change) -> None:
         """change(rows of the touched partitions, batch) takes the place of these rows. The keys of what it returns are those of
         either side. A batch number that comes again changes nothing more, whatever the batch then holds."""
@@ -74,8 +94,7 @@ class Store:
             return  # later ones have been applied over it
         if n > last:
             self.stage(batch, n, change)
-        new = self._read(self._staged(n))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_").parquet(self.path)
+        self._publish(n)
 
     def expire(self, gone: Column, n: int) -> None:
         """Removes rows, as a batch of its own number; only partitions that hold some of them are touched."""
