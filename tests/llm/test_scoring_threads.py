@@ -1,0 +1,27 @@
+"""The products of the recurrent model are too small each for BLAS to start threads, which would double its CPU time."""
+
+import os
+import subprocess
+import sys
+
+import pytest
+
+CODE = """
+import resource, time
+import numpy as np
+from newsloom.llm.gru import Gru
+rng = np.random.default_rng(1)
+docs = [np.append(rng.integers(2, 1500, 400), 1).astype(np.int32) for _ in range(250)]
+model = Gru(1500)
+model.train(docs[:20], lanes=128)
+began, used = time.perf_counter(), time.process_time()
+model.train(docs, lanes=128)
+model.score(docs)
+print((time.process_time() - used) / (time.perf_counter() - began))
+"""
+
+
+@pytest.mark.skipif((os.cpu_count() or 1) < 2, reason="one core")
+def test_one_core_is_busy():
+    out = subprocess.run([sys.executable, "-c", CODE], env=os.environ | {"OMP_NUM_THREADS": "2", "PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 1.4, out.stdout
