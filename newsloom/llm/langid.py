@@ -30,8 +30,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case. Numbers such as one half or a roman numeral sign are no letters."""
+    found = _RUNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
     out = []
-    for w in _RUNS.findall(text.lower()) if text else ():
+    for w in found:
         out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
     return out
 
@@ -216,11 +219,12 @@ class Model:
         found = [words_of(t) for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        new = sorted({w for ws in found for w in ws} - self.at.keys())
+        met = set().union(*found)
+        new = sorted(met - self.at.keys())
         if new:
             if len(self.at) + len(new) > self.MOST:
                 self.clear()
-                new = sorted({w for ws in found for w in ws})
+                new = sorted(met)
             self.add(new)
         out = []
         for ws in found:
